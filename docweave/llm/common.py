@@ -87,6 +87,7 @@ _rng = np.random.default_rng(0x5EED)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_WORD_CLASS = (~_SPACE).astype(np.uint8)
 _BASES = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93]
 _POWERS: dict[tuple[int, bool], np.ndarray] = {}
 
@@ -130,21 +131,19 @@ def rolling(values: np.ndarray, width: int, base: int) -> np.ndarray:
 
 class Words:
     """Words ``[^\\x20\\x09-\\x0D]+`` of several texts: ``hash`` per word, byte ``start`` and ``end`` in ``data``,
-    and ``first[i]:first[i+1]`` the words of text i."""
+    and ``first[i]:first[i+1]`` the words of text i.  With ``classes`` (a table of 256; 0: between words) a word also
+    ends where the class changes."""
 
     __slots__ = ("data", "start", "end", "first", "hash")
 
-    def __init__(self, texts: list[bytes], lower: bool = False):
+    def __init__(self, texts: list[bytes], classes: np.ndarray | None = None):
         data = b" ".join(texts) + b" "
-        if lower:
-            data = data.lower()  # bytes.lower() touches A-Z only
         self.data = data
         raw = np.frombuffer(data, dtype=np.uint8)
-        space = _SPACE[raw]
-        edge = np.flatnonzero(space[1:] != space[:-1]) + 1
-        if len(raw) and not space[0]:
-            edge = np.concatenate(([0], edge))
-        self.start, self.end = edge[0::2], edge[1::2]
+        kind = _WORD_CLASS[raw] if classes is None else classes[raw]
+        edge = np.concatenate(([0], np.flatnonzero(kind[1:] != kind[:-1]) + 1, [len(raw)]))
+        inside = kind[edge[:-1]] != 0
+        self.start, self.end = edge[:-1][inside], edge[1:][inside]
         begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
         self.first = np.searchsorted(self.start, begins)
         total = np.empty(len(raw) + 1, dtype=np.uint64)
