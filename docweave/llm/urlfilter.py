@@ -154,7 +154,7 @@ def judge(pages: DataFrame, rules: dict[str, str], blocklist: dict[str, str], id
 
 
 def judge_large(pages: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", lengths: list[int] | None = None) -> DataFrame:
-    """The same decision for a list too long to map: ``entries(entry, verdict)`` joined by key and full string.
+    """The same decision for a list too long to map: ``entries(entry, verdict)`` joined by the full string.
 
     Returns (page_id, entry, verdict) of the urls that some entry fits.  ``lengths``: the distinct path lengths of
     the entries, found by one aggregation where not given.
@@ -167,8 +167,9 @@ def judge_large(pages: DataFrame, entries: DataFrame, id_col: str = "page_id", u
     labels = F.split("host", "\\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."))
     tails = F.filter(F.array(*[F.when(F.length("path") >= k, F.substring("path", 1, k)) for k in lengths]), lambda x: x.isNotNull())
-    probes = rows.select("page_id", F.explode(suffixes).alias("h"), tails.alias("t")).select("page_id", F.concat("h", F.explode("t")).alias("entry"))
-    hit = probes.join(entries.withColumn("k", F.xxhash64("entry")), (F.xxhash64(probes["entry"]) == F.col("k")) & (probes["entry"] == entries["entry"])).select("page_id", probes["entry"], "verdict")
+    probes = rows.select("page_id", F.explode(suffixes).alias("h"), tails.alias("t"))
+    probes = probes.select("page_id", F.explode(F.transform("t", lambda t: F.concat("h", t))).alias("entry"))
+    hit = probes.join(entries.select("entry", "verdict"), "entry")
     rank = F.struct(F.length("entry"), F.instr("entry", "/"), "entry", "verdict")
     return hit.groupBy("page_id").agg(F.max(rank).alias("m")).select("page_id", "m.entry", "m.verdict")
 
