@@ -1,9 +1,9 @@
 """Mixing by soft membership: domain posteriors of every document, then non-negative rates that meet the targets.
 
 1. A classifier learns the domains from labelled documents (at most ``max_labelled`` label rows, which bounds the
-   broadcast): smoothed counts of hashed words per domain (naive Bayes, ``buckets`` buckets, so the model has a
-   proven size), and its log ratio summed over a whole text, tempered by the square root of the text's length, gives
-   posteriors p(domain | document).
+   broadcast): smoothed document counts of hashed words per domain (naive Bayes, ``buckets`` buckets, so the model has a
+   proven size); the log ratios of a whole text's different words, of buckets with an evidence of at least ``evidence``, add up
+   to the posteriors p(domain | document).  Domains without a labelled document in the table are left out.
 2. Rates r >= 0 solve the least squares problem whose residuals are, over domains d, the expected tokens (sum over
    documents of r * tokens * p_d) less the target's, by projected gradients from r = 1.  The residuals are whitened
    by the second moments of the posteriors, so the step length 1 is right for any data and rare domains converge as
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BUCKETS, SMOOTHING, MAX_LABELLED, ROUNDS = 1 << 14, 5.0, 20_000, 40
+BUCKETS, SMOOTHING, EVIDENCE, MAX_LABELLED, ROUNDS = 1 << 18, 5.0, 0.9, 20_000, 40
 #: Domains of the labels table and their share of the mix's tokens.
 TARGETS = {"good": 0.92, "low": 0.06, "toxic": 0.02}
 
@@ -39,20 +39,21 @@ def domains_of(labels: DataFrame) -> DataFrame:
     return known.select("doc_id", F.when(F.col("t") == 1, "toxic").when(F.col("q") == 0, "low").otherwise("good").alias("domain"))
 
 
-def _words(docs: DataFrame, buckets: int, text_col: str) -> DataFrame:
-    """(doc_id, bucket) of every word of every text."""
-    words = F.explode(F.split(F.lower(F.col(text_col)), r"[\x20\x09-\x0D]+")).alias("w")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), words).filter("w <> ''").select("doc_id", F.pmod(F.hash("w"), F.lit(buckets)).alias("bucket"))
+def _seen(docs: DataFrame, buckets: int, *keep: str) -> DataFrame:
+    """Each different word of each text as a bucket, with the columns of ``keep``; ``tokens`` (all words of the text)
+    stands in the first of a text's rows only.  A text without words keeps one row, of no bucket."""
+    words = docs.select(*keep, F.array_remove(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[\x20\x09-\x0D]+"), "").alias("words"))
+    each = words.select(*keep, F.size("words").alias("n_"), F.posexplode_outer(F.array_distinct("words")).alias("at_", "w_"))
+    return each.select(*keep, F.when(F.coalesce("at_", F.lit(0)) == 0, F.col("n_")).alias("tokens"), F.when(F.col("w_").isNotNull(), F.pmod(F.hash("w_"), F.lit(buckets))).alias("bucket"))
 
 
-def fit(docs: DataFrame, domains: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING, max_labelled: int = MAX_LABELLED, text_col: str = "text") -> tuple[list[str], list[float], DataFrame]:
+def fit(docs: DataFrame, domains: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING, evidence: float = EVIDENCE, max_labelled: int = MAX_LABELLED, text_col: str = "text") -> tuple[list[str], list[float], DataFrame]:
     """Domain names, log priors, and the model: bucket -> log ratios w0, w1, ... of each domain to all labelled."""
-    sample = domains.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    own = docs.join(F.broadcast(sample), "doc_id")
-    prior = {r["domain"]: r["n"] for r in sample.groupBy("domain").agg(F.count("*").alias("n")).collect()}
+    sample = domains.select(F.col("doc_id").alias("id_"), F.col("domain").alias("domain_")).orderBy(F.xxhash64("id_"), "id_").limit(max_labelled)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("id_"))
+    prior = {r["domain_"]: r["n"] for r in own.groupBy("domain_").agg(F.count("*").alias("n")).collect()}
     names = sorted(prior) or ["unlabelled"]
-    words = F.explode(F.split(F.lower(F.col(text_col)), r"[\x20\x09-\x0D]+")).alias("w")
-    seen = own.select("domain", words).filter("w <> ''").select("domain", F.pmod(F.hash("w"), F.lit(buckets)).alias("bucket"))
+    seen = _seen(own.withColumnRenamed("domain_", "domain"), buckets, "domain").filter("bucket is not null")
     counts = seen.groupBy("bucket").agg(*[F.count(F.when(F.col("domain") == d, 1)).cast("double").alias(f"c{i}") for i, d in enumerate(names)])
     counts = common.materialize(counts, "mixing-counts")
     sums = counts.agg(*[F.coalesce(F.sum(f"c{i}"), F.lit(0.0)).alias(f"c{i}") for i in range(len(names))]).first()
@@ -60,7 +61,8 @@ def fit(docs: DataFrame, domains: DataFrame, buckets: int = BUCKETS, smoothing:
     every = sum((F.col(f"c{i}") for i in range(len(names))), F.lit(0.0))
     weights = [F.log((F.col(f"c{i}") + smoothing) / (every * (sums[i] / whole) + smoothing)).alias(f"w{i}") for i in range(len(names))]
     total = max(1, sum(prior.values()))
-    return names, [math.log(prior.get(d, 1) / total) if prior else 0.0 for d in names], counts.select("bucket", *weights)
+    model = counts.select("bucket", *weights).filter(F.greatest(F.lit(0.0), *[F.abs(F.col(f"w{i}")) for i in range(len(names))]) >= evidence)
+    return names, [math.log(prior.get(d, 1) / total) if prior else 0.0 for d in names], model
 
 
 def posteriors(docs: DataFrame, domains: DataFrame, text_col: str = "text", **options) -> tuple[list[str], DataFrame]:
@@ -69,12 +71,11 @@ def posteriors(docs: DataFrame, domains: DataFrame, text_col: str = "text", **op
     names, prior, model = fit(docs, domains, text_col=text_col, **options)
     k = range(len(names))
     # at most one row for each bucket: far below the size that a broadcast may have
-    scored = _words(docs, buckets, text_col).join(F.broadcast(model), "bucket", "left")
-    sums = scored.groupBy("doc_id").agg(F.count("*").alias("tokens"), *[F.sum(F.coalesce(f"w{i}", F.lit(0.0))).alias(f"s{i}") for i in k])
-    every = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    filled = every.join(sums.withColumnRenamed("doc_id", "d"), F.col("doc_id").eqNullSafe(F.col("d")), "left").drop("d")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    scored = _seen(rows, buckets, "doc_id").join(F.broadcast(model), "bucket", "left")
     tokens = F.coalesce("tokens", F.lit(0))
-    logits = [F.lit(prior[i]) + F.coalesce(F.col(f"s{i}") / F.sqrt(F.greatest(tokens, F.lit(1)).cast("double")), F.lit(0.0)) for i in k]
+    filled = scored.groupBy("doc_id").agg(F.sum("tokens").alias("tokens"), *[F.sum(f"w{i}").alias(f"s{i}") for i in k])
+    logits = [F.lit(prior[i]) + F.coalesce(f"s{i}", F.lit(0.0)) for i in k]
     shifted = filled.select("doc_id", tokens.cast("long").alias("tokens"), *[x.alias(f"l{i}") for i, x in enumerate(logits)])
     top = F.greatest(*[F.col(f"l{i}") for i in k]) if len(names) > 1 else F.col("l0")
     raised = shifted.select("doc_id", "tokens", *[F.exp(F.col(f"l{i}") - top).alias(f"e{i}") for i in k])
