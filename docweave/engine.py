@@ -135,8 +135,8 @@ class Script:
     def __init__(self) -> None:
         self.commands: list[dict] = []
 
-    def _add(self, name: str, **keys: Any) -> Script:
-        self.commands.append({"command": name, **{k: v.commands if isinstance(v, Script) else v for k, v in keys.items() if v is not None}})
+    def _add(self, command_: str, **keys: Any) -> Script:
+        self.commands.append({"command": command_, **{k: v.commands if isinstance(v, Script) else v for k, v in keys.items() if v is not None}})
         return self
 
     def add(self, path: str, value: Any, property: str | None = None) -> Script:
