@@ -400,6 +400,21 @@ def convert_json_xml_yaml(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("c_custkey", F.get_json_object("doc", "$.info.name").alias("name"), F.get_json_object("doc", "$.info.segment").alias("segment"), "ok")
 
 
+def streaming_script(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document-mode script over a stream of the events table, run to its end."""
+    import tempfile
+    import uuid
+
+    from .streaming import documents
+
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="docweave-")
+    base = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    steps = [{"command": "put", "path": "$.twice", "value": "=$.value * 2"}, {"command": "put", "path": "$.kind", "value": "=toUpper($.event_type)"}, {"command": "remove", "path": "$.props"}]
+    stream = documents.apply(documents.read_table(spark, sf_dir, "events"), steps)
+    documents.run_available(stream.select("event_id", "twice", "kind"), f"{base}/out", f"{base}/progress")
+    return spark.read.parquet(f"{base}/out")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _script("flagship")(spark, sf_dir)
 
@@ -438,6 +453,7 @@ OTHERS: dict[str, tuple[Callable, str | None]] = {
     "restore_nested": (restore_nested, "SELECT c_custkey, c_name AS name, c_mktsegment AS segment FROM customer SEMI JOIN orders ON o_custkey = c_custkey"),
     "to_csv_rows": (to_csv_rows, "SELECT '\"' || p_brand || '\";\"' || p_name || '\";\"' || p_partkey || '\";\"' || p_size || '\"' AS line FROM part"),
     "exists_semi": (exists_semi, "SELECT c_custkey FROM customer SEMI JOIN (SELECT * FROM orders WHERE o_totalprice > 200000) ON o_custkey = c_custkey"),
+    "streaming_script": (streaming_script, "SELECT event_id, value * 2 AS twice, upper(event_type) AS kind FROM events"),
     "dynamic_mapping": (dynamic_mapping, "SELECT c_custkey, round(sum(o_totalprice), 2) AS total, 3.0::DOUBLE AS n, any_value(c_name) AS ref, true AS ok FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey"),
     "convert_json_xml_yaml": (convert_json_xml_yaml, "SELECT c_custkey, c_name AS name, c_mktsegment AS segment, true AS ok FROM customer SEMI JOIN orders ON o_custkey = c_custkey"),
 }
