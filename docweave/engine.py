@@ -115,7 +115,7 @@ class Engine:
         """The table as the array ``$``; see :class:`docweave.operators.collection.Collection`."""
         from .operators.collection import Collection
 
-        return Collection(df, order, tables).run(scripts.parse(script))
+        return Collection(df, order, tables, self.dialect).run(scripts.parse(script))
 
 
 def split(script: list[dict], source: str) -> list[dict]:

@@ -22,6 +22,7 @@ from ..functions.native import Unsupported, Val
 from ..plans import jsonpath as jp
 from ..plans import values
 from ..plans.binder import Scope, bind, bind_path, predicate
+from ..runtime import materialize
 
 _TABLE = re.compile(r"^\$([A-Za-z_]\w*)(.*)$")
 
@@ -33,8 +34,9 @@ class Result:
 
 
 class Collection:
-    def __init__(self, df: DataFrame, order: str | list[str] | None = None, tables: dict[str, DataFrame] | None = None):
+    def __init__(self, df: DataFrame, order: str | list[str] | None = None, tables: dict[str, DataFrame] | None = None, dialect: str = "classic"):
         self.df = df
+        self.dialect = dialect
         self.order = [order] if isinstance(order, str) else list(order or [])
         self.tables = dict(tables or {})
         self.outputs: dict[str, DataFrame] = {}
@@ -60,7 +62,7 @@ class Collection:
 
     # ---- scopes and paths
     def scope(self, **more: Any) -> Scope:
-        return Scope(self.df.schema, **more)
+        return Scope(self.df.schema, **{"dialect": self.dialect, **more})
 
     def need_order(self) -> list[Column]:
         if not self.order:
@@ -69,7 +71,7 @@ class Collection:
 
     def target(self, path: str) -> tuple[Column | None, tuple]:
         """(row condition, segments below the row) of a path."""
-        p = jp.parse(path)
+        p = jp.parse(path, self.dialect)
         if p.root == "@":
             return None, p.segments
         if not p.segments or not isinstance(p.segments[0], jp.Segment):
@@ -360,13 +362,15 @@ class Collection:
         # the references are grouped by their key first, so each target meets one row and keeps its own
         packed = right.select(*rk, F.struct(*([order.alias("o_")] if order is not None else []), *picked).alias("p_"))
         behaviours = [str(v.get("resolveTypeBehavior", "DependingOnResult")).lower() for v in specs]
+        # only an array needs all matches; else the first and their number are enough, however many share a key
+        gathered = F.array_sort(F.collect_list("p_")) if "alwaysasarray" in behaviours else F.array_repeat(F.min("p_"), F.least(F.count("p_"), F.lit(2)).cast("int"))
         if overlap:
             ids = [F.col(f"`{n}`") for n in left.columns]
             exploded = left.withColumn("row_", F.struct(*ids)).select("row_", *lk)
-            hits = exploded.join(packed, on).select("row_", "p_").distinct().groupBy("row_").agg(F.array_sort(F.collect_list("p_")).alias("hits_"))
+            hits = exploded.join(packed, on).select("row_", "p_").distinct().groupBy("row_").agg(gathered.alias("hits_"))
             joined = left.withColumn("row_", F.struct(*ids)).join(hits, "row_", "left").drop("row_")
         else:
-            grouped = packed.groupBy(*[f"r{i}_" for i in range(len(keys))]).agg(F.array_sort(F.collect_list("p_")).alias("hits_"))
+            grouped = packed.groupBy(*[f"r{i}_" for i in range(len(keys))]).agg(gathered.alias("hits_"))
             joined = left.select("*", *lk).join(grouped, on, "left").drop(*[f"l{i}_" for i in range(len(keys))], *[f"r{i}_" for i in range(len(keys))])
         out = joined
         for i, (v, how) in enumerate(zip(specs, behaviours, strict=True)):
@@ -536,7 +540,8 @@ def _field(arr: Column, name: str) -> Column:
 
 def ranks(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """0-based positions in the order, without bringing all rows to one task: range partitions, their sizes, offsets."""
-    parts = df.repartitionByRange(*order).withColumn("p_", F.spark_partition_id())
+    # written once: both readers below must see the same partitions
+    parts = materialize(df.repartitionByRange(*order).withColumn("p_", F.spark_partition_id()), "ranks")
     local = parts.withColumn("r_", F.row_number().over(W.partitionBy("p_").orderBy(*order)))
     sizes = parts.groupBy("p_").agg(F.count("*").alias("n_"))
     before = sizes.select("p_", (F.sum("n_").over(W.orderBy("p_")) - F.col("n_")).alias("b_"))  # a row for each partition

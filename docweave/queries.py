@@ -402,13 +402,12 @@ def convert_json_xml_yaml(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def streaming_script(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document-mode script over a stream of the events table, run to its end."""
-    import tempfile
     import uuid
 
+    from .runtime import shared_dir
     from .streaming import documents
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="docweave-")
-    base = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     steps = [{"command": "put", "path": "$.twice", "value": "=$.value * 2"}, {"command": "put", "path": "$.kind", "value": "=toUpper($.event_type)"}, {"command": "remove", "path": "$.props"}]
     stream = documents.apply(documents.read_table(spark, sf_dir, "events"), steps)
     documents.run_available(stream.select("event_id", "twice", "kind"), f"{base}/out", f"{base}/progress")

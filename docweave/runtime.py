@@ -1,12 +1,13 @@
-"""What a session needs before Python code of this package runs on its executors."""
+"""What a session needs: this package on its executors, and durable intermediates in the folder all of them share."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -26,3 +27,32 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.join("docweave", os.path.relpath(full, root)))
     spark.sparkContext.addPyFile(path)
     _shipped.add(app)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``; where that is unset (tests), one of our own."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        named = tempfile.mkdtemp(prefix="docweave-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
+
+
+def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and return a reader of it (cuts the lineage)."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    schema = df.schema
+    df.write.option("compression", compression).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._docweave_path = path
+    return out
+
+
+def discard(df: DataFrame | None) -> None:
+    """Delete the table behind a :func:`materialize` result that nothing reads any more."""
+    path = getattr(df, "_docweave_path", None)
+    if path:
+        jvm = df.sparkSession._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
