@@ -1,13 +1,11 @@
-"""Shared pieces of the training-data operators: durable intermediates, vectorised word hashing, components.
+"""Shared pieces of the training-data operators: Arrow tasks, vectorised word hashing, components.
 
-Nothing in here knows about one operator in particular.  Executors can be lost at any time, so every table that
-several later jobs read is written to the folder named by ``spark.checkpoint.dir`` and read back.
+Executors can be lost at any time, so every table that several later jobs read is written to the folder named by
+``spark.checkpoint.dir`` and read back (``materialize``).
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,43 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..runtime import ship_package
+from ..runtime import discard, materialize, ship_package
 
 MASK64 = (1 << 64) - 1
 
 
-# --------------------------------------------------------------------------------------------------------------
-# durable intermediates
-# --------------------------------------------------------------------------------------------------------------
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; where that is unset (tests), one of our own."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="docweave-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and return a reader of it (cuts the lineage)."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.option("compression", compression).parquet(path)
-    out = spark.read.schema(schema).parquet(path)
-    out._docweave_path = path
-    return out
-
-
-def discard(df: DataFrame | None) -> None:
-    """Delete the table behind a :func:`materialize` result that nothing reads any more."""
-    path = getattr(df, "_docweave_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], object]], schema: T.StructType | str) -> DataFrame:
     """``mapInArrow`` with a per-task state: ``make()`` runs once in each task and returns batch -> batch(es)."""
 
