@@ -287,3 +287,20 @@ def _aggregate(node: values.Call, args: list[Val], scope: Scope) -> Val:
     kept[name] = agg
     kind = "text" if node.name.endswith("date") else "number"
     return Val(F.col(name), kind, F.col(name).isNotNull() if node.name in ("min", "max", "minifs", "maxifs", "mindate", "maxdate", "avgdate") else None)
+
+
+def suggest(schema: T.DataType, prefix: str = "$") -> list[str]:
+    """Paths that continue ``prefix`` in a schema, for completion; arrays are shown with ``[*]``."""
+    out: list[str] = []
+
+    def walk(t: T.DataType, path: str) -> None:
+        if path != "$":
+            out.append(path)
+        if isinstance(t, T.StructType):
+            for f in t:
+                walk(f.dataType, jp.render(jp.Segment((jp.Name(f.name),))).join([path, ""]))
+        elif isinstance(t, T.ArrayType):
+            walk(t.elementType, path + "[*]")
+
+    walk(schema, "$")
+    return [p for p in out if p.startswith(prefix)]

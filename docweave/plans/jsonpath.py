@@ -399,6 +399,13 @@ class _Parser:
 
 @lru_cache(maxsize=1024)
 def parse(text: str, dialect: str = "classic") -> Path:
+    """A path of a dialect; ``xpath`` reads slash paths (for XML documents) and falls back to ``classic``."""
+    if dialect == "xpath":
+        if text[:1] not in "$@":
+            from .xpath import parse as slashes
+
+            return slashes(text)
+        dialect = "classic"
     return _Parser(text, dialect).whole()
 
 
