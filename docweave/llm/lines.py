@@ -152,7 +152,7 @@ def drop_lines(docs: DataFrame, min_texts: int = MIN_TEXTS, depth: int = DEPTH,
     lists = drop.join(fields, ["k1", "k2"], "full").select(F.col("k1").alias("lk1_"), F.col("k2").alias("lk2_"), F.col("drop").alias("drop_"), F.col("fields").alias("fields_"))
     lists = common.materialize(lists, "lines-drop")
     names = docs.columns
-    hold = docs.select(F.struct(*[docs[c] for c in names if c != text_col]).alias("rest_"), F.col(text_col).alias("text_"))
+    hold = docs.select(F.struct(F.lit(0).alias("pad_"), *[docs[c] for c in names if c != text_col]).alias("rest_"), F.col(text_col).alias("text_"))
     keyed = hold.withColumn("k1_", F.xxhash64("text_", F.lit(1))).withColumn("k2_", F.xxhash64(F.lit(2), "text_"))
     joined = keyed.join(lists, (F.col("k1_") == F.col("lk1_")) & (F.col("k2_") == F.col("lk2_")), "left").select("rest_", "text_", "drop_", "fields_")
 
