@@ -152,3 +152,37 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, phrase
 def query(spark, sf_dir: str) -> DataFrame:
     """op9: license phrases and labels of every document."""
     return scan(common.table(spark, sf_dir, "documents")).drop("blocks")
+
+
+def _place(phrase: str) -> str:
+    words = phrase.split()
+    test = " AND ".join(f"ws[i + {k}] = '{w}'" if k else f"ws[i] = '{w}'" for k, w in enumerate(words))
+    return f"list_filter(range(1, len(ws) + 1), lambda i: {test})"
+
+
+_FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_RUN = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, {_FOLD} AS t, regexp_extract_all({_FOLD}, {_RUN}) AS ws FROM documents
+), p AS (
+  SELECT r, doc_id, t, ws, {", ".join(f"{_place(phrase)} AS p{i}" for i, phrase in enumerate(PHRASES))} FROM d
+), lines AS (
+  SELECT DISTINCT r, list_distinct(regexp_extract_all(line, {_RUN})) AS lw FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM p)
+), templates(label, tw) AS (
+  VALUES {", ".join(f"('{label}', {sorted({w.decode() for w in _flat(text).split()})})" for label, text in TEMPLATES)}
+), met AS (
+  SELECT r, label, len(list_intersect(lw, tw)) / len(tw) AS c FROM lines, templates WHERE len(list_intersect(lw, tw)) >= 0.8 * len(tw)
+), best AS (
+  SELECT r, list(label) AS found, max(c) AS c FROM met GROUP BY r
+), base AS (
+  SELECT r, doc_id, len(ws) AS n_words, list_concat({", ".join(f"p{i}" for i in range(len(PHRASES)))}) AS places,
+    list_concat({", ".join(f"CASE WHEN len(p{i}) > 0 THEN ['{label}'] ELSE [] END" for i, label in enumerate(PHRASES.values()))}) AS own
+  FROM p
+)
+SELECT doc_id, n_words, len(places) AS n_base, list_min(places) - 1 AS first_word, list_max(places) - 1 AS last_word,
+  array_to_string(list_sort(list_distinct(own)), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(own, coalesce(found, [])))), ',') AS labels,
+  CASE WHEN len(places) > 0 THEN 1.0::DOUBLE ELSE coalesce(c, 0.0)::DOUBLE END AS score
+FROM base LEFT JOIN best USING (r)
+"""

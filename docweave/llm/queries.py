@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": urlfilter.SQL, "op3_chat_format": chat.SQL}
+    return {"op2_url_filter": urlfilter.SQL, "op3_chat_format": chat.SQL, "op4_substring_dedup": substring.SQL, "op9_licenses": licenses.SQL}

@@ -176,3 +176,24 @@ def query(spark, sf_dir: str) -> DataFrame:
     out = remove_repeats(common.table(spark, sf_dir, "documents"))
     digest = F.when(F.col("kept").isNull(), F.col("words_sha256")).otherwise(F.sha2(F.col("kept"), 256))
     return out.select("doc_id", "n_words", "n_removed", digest.alias("kept_sha256"))
+
+
+SQL = r"""
+WITH w AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), win AS (
+  SELECT r, doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50
+), hashed AS (
+  SELECT r, doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS h FROM win
+), lows AS (
+  SELECT h, min(doc_id) AS low FROM hashed GROUP BY h
+), gone AS (
+  SELECT DISTINCT r, unnest(range(i, i + 50)) AS k FROM hashed JOIN lows USING (h) WHERE low < doc_id
+), word AS (
+  SELECT r, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS k FROM w
+), kept AS (
+  SELECT r, string_agg(x, ' ' ORDER BY k) AS t, count(*) AS n FROM word ANTI JOIN gone USING (r, k) GROUP BY r
+)
+SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (r)
+"""
