@@ -61,6 +61,7 @@ class Engine:
         """text -> (text, ok, trace); a top-level ``convert`` ends a section and changes the format."""
         sections = split(scripts.parse(script), source)
         dialect, functions, commands = self.dialect, self.functions, self.commands
+        parsed: dict = {}
 
         def work(text: str | None) -> tuple[str | None, bool, list]:
             if text is None:
@@ -76,7 +77,7 @@ class Engine:
                         named = formats.ADAPTERS[at].named
                         tree = formats.ADAPTERS[at].read(text, formats.Settings.read(section["settings"]))
                         root, body = next(iter(tree.items())) if named else (None, tree)
-                        body, good, state = interpreter.run(section["script"], body, dialect, functions, commands)
+                        body, good, state = interpreter.run(section["script"], body, dialect, functions, commands, parsed)
                         trace += state.trace
                         ok &= good  # a failure in one section does not stop the next
                         text = formats.write_xml(body, formats.Settings.read(section["settings"]), root) if named else formats.write(body, at)
