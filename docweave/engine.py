@@ -112,6 +112,20 @@ class Engine:
 
         return df.mapInArrow(run, schema)
 
+    def transform(self, df: DataFrame, script: str | list, json_fallback: bool = False) -> DataFrame:
+        """Each row is a document of the table's schema: columns in, columns out (native tier).  What the schema cannot
+        decide raises Unsupported, or with ``json_fallback`` runs over the rows as JSON: (doc, ok, trace)."""
+        from .functions.native import Unsupported
+        from .operators import document
+
+        try:
+            return document.transform(df, script)
+        except Unsupported:
+            if not json_fallback:
+                raise
+            text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})
+            return self.documents(df.select(text.alias("doc")), script)
+
     def rows(self, df: DataFrame, script: str | list, order: str | list[str] | None = None, tables: dict[str, DataFrame] | None = None):
         """The table as the array ``$``; see :class:`docweave.operators.collection.Collection`."""
         from .operators.collection import Collection

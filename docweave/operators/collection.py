@@ -40,6 +40,7 @@ class Collection:
         self.order = [order] if isinstance(order, str) else list(order or [])
         self.tables = dict(tables or {})
         self.outputs: dict[str, DataFrame] = {}
+        self.extra: set[str] = set()  # columns of aggregates that a command has joined to the rows
 
     def run(self, script: list[dict]) -> Result:
         i = 0
@@ -57,6 +58,9 @@ class Collection:
                 self._output(same)
             else:
                 run(c)
+            if self.extra:
+                self.df = self.df.drop(*self.extra)
+                self.extra = set()
             i += 1
         return Result(self.df, self.outputs)
 
@@ -152,13 +156,10 @@ class Collection:
         if aggregates:
             one = self.df.agg(*[c.alias(n) for n, c in aggregates.items()])
             self.df = self.df.crossJoin(F.broadcast(one))  # exactly one row
-            self.extra |= set(aggregates)
+            self.extra = self.extra | set(aggregates)
         return got
 
-    extra: set = set()
-
     def _change(self, mode: str, c: dict) -> None:
-        self.extra = set()
         path = c["path"]
         if path == "$" and mode == "put":
             self._whole(c["value"])
@@ -171,8 +172,6 @@ class Collection:
             self._elements(mode, segments, c["value"], condition)
         else:
             self.write(mode, segments, self.value(c["value"]), condition)
-        if self.extra:
-            self.df = self.df.drop(*self.extra)
 
     def _elements(self, mode: str, segments: tuple, raw: Any, condition: Column | None) -> None:
         """A property of each element of an array in the row; ``@`` is the element."""
@@ -277,9 +276,8 @@ class Collection:
 
     def _ifelse(self, c: dict) -> None:
         """Both branches are computed, each written column is chosen by the condition."""
-        before = self.df
         test = native.flag(self.value(c["condition"]))
-        self.df = _choose(before.withColumn("if_", test), c, self)
+        self.df = _choose(self.df.withColumn("if_", test), c, self)
 
     def _decisiontable(self, c: dict) -> None:
         """Few rules: one chain of conditions by priority; every output is one column."""

@@ -8,6 +8,7 @@ pushdown see plain column references.
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from itertools import count
 from typing import Any
 
 from pyspark.sql import Column
@@ -20,6 +21,9 @@ from . import jsonpath as jp
 from . import values
 
 
+_NUMBER = count()
+
+
 @dataclass(frozen=True)
 class Scope:
     schema: T.StructType
@@ -283,7 +287,7 @@ def _aggregate(node: values.Call, args: list[Val], scope: Scope) -> Val:
     if agg is None:
         raise Unsupported(f"{node.name} over the table")
     kept = scope.aggregates
-    name = f"agg_{len(kept)}_"
+    name = f"agg_{next(_NUMBER)}_"
     kept[name] = agg
     kind = "text" if node.name.endswith("date") else "number"
     return Val(F.col(name), kind, F.col(name).isNotNull() if node.name in ("min", "max", "minifs", "maxifs", "mindate", "maxdate", "avgdate") else None)
