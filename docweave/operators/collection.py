@@ -102,7 +102,7 @@ class Collection:
             one = jp.parse("$" + m[2]).segments[0].selectors[0]
             if not isinstance(one, jp.Filter):
                 raise Unsupported(path)
-            out = out.filter(predicate(one.test, Scope(out.schema, rows=False)))
+            out = out.filter(predicate(one.test, Scope(out.schema, rows=False), nullable=True))
         return out
 
     # ---- writes
@@ -497,7 +497,7 @@ class Collection:
             return self.df
         s = p.segments[0].selectors[0]
         if isinstance(s, jp.Filter):
-            return self.df.filter(predicate(s.test, self.scope(rows=False)))
+            return self.df.filter(predicate(s.test, self.scope(rows=False), nullable=True))
         if isinstance(s, jp.Index):
             s = jp.Slice(s.index, s.index + 1 or None, None)
         if not isinstance(s, jp.Slice):

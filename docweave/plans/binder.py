@@ -15,7 +15,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import native
+from ..functions import dates, native
+from ..functions.coerce import Failure
 from ..functions.native import Unsupported, Val, kind_of
 from . import jsonpath as jp
 from . import values
@@ -187,17 +188,32 @@ def _row(segments: tuple, scope: Scope) -> Val:
     return v
 
 
-def predicate(test: Any, scope: Scope) -> Column:
-    """A filter as a column that is never null."""
+def plain(a: Val, b: Val) -> tuple[Column, Column] | None:
+    """Both sides as columns that compare without a coercion, so that a scan can take the filter over; else None."""
+    if a.kind == b.kind and a.kind in ("number", "text", "bool"):
+        return a.col, b.col
+    for x, y, turned in ((a, b, False), (b, a, True)):
+        if x.kind == "date" and isinstance(y.lit, str):
+            try:
+                moment = F.lit(dates.parse(y.lit)).cast(x.dtype if x.dtype is not None else "timestamp")
+            except Failure:
+                return None
+            return (moment, x.col) if turned else (x.col, moment)
+    return None
+
+
+def predicate(test: Any, scope: Scope, nullable: bool = False) -> Column:
+    """A filter as a column that is never null; with ``nullable`` null stands for false, as a table's filter takes it,
+    and comparisons stay plain enough to be pushed down."""
     if isinstance(test, jp.And):
-        out = predicate(test.items[0], scope)
+        out = predicate(test.items[0], scope, nullable)
         for i in test.items[1:]:
-            out = out & predicate(i, scope)
+            out = out & predicate(i, scope, nullable)
         return out
     if isinstance(test, jp.Or):
-        out = predicate(test.items[0], scope)
+        out = predicate(test.items[0], scope, nullable)
         for i in test.items[1:]:
-            out = out | predicate(i, scope)
+            out = out | predicate(i, scope, nullable)
         return out
     if isinstance(test, jp.Not):
         return ~predicate(test.item, scope)
@@ -218,6 +234,16 @@ def predicate(test: Any, scope: Scope) -> Column:
         flags = "".join(f for f in (test.right.flags if isinstance(test.right, jp.Regex) else "") if f in "imsx")
         return F.coalesce(native.text(a).col.rlike((f"(?{flags})" if flags else "") + pattern), F.lit(False)) if a.kind == "text" else F.lit(False)
     there = [v.ok for v in (a, b) if v.ok is not None]
+    sides = None if there else plain(a, b)
+    if sides:
+        x, y = sides
+        if test.op in ("==", "===", "!=", "!=="):
+            same = x.eqNullSafe(y)
+            return same if test.op[0] == "=" else ~same
+        if a.kind == "bool":
+            return F.lit(False)
+        out = {"<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[test.op]
+        return out if nullable else F.coalesce(out, F.lit(False))
     if test.op in ("==", "===", "!=", "!=="):
         if a.kind in ("number", "bool") and b.kind in ("number", "bool") and a.kind != b.kind or (len(test.op) == 3 and a.kind != b.kind):
             out = F.lit(False)

@@ -37,8 +37,10 @@ def test_every_query_has_sql():
 
 
 def test_plans_prune_and_push_down(spark):
-    plan = queries.queries()["path_filter_eq"](spark, SF)._jdf.queryExecution().toString()
-    assert "PushedFilters: [IsNotNull(o_orderstatus), EqualTo(o_orderstatus,F)]" in plan.replace("In(o_orderstatus, [F])", "") or "EqualTo(o_orderstatus,F)" in plan
-    assert "ReadSchema: struct<o_orderkey:bigint,o_orderstatus:string>" in plan
+    physical = lambda name: queries.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [EqualNullSafe(o_orderstatus,F)], ReadSchema: struct<o_orderkey:bigint,o_orderstatus:string>" in physical("path_filter_eq")
+    assert "GreaterThanOrEqual(o_totalprice,200000" in physical("path_filter_cmp")
+    assert "Or(LessThan(o_totalprice,20000" in physical("path_filter_and_or")
+    assert "GreaterThan(o_orderdate,1996-01-01T00:00)" in physical("path_filter_date")
     plan = queries.queries()["put_computed"](spark, SF)._jdf.queryExecution().toString()
     assert "Python" not in plan and "l_comment" not in plan and "ReadSchema: struct<l_orderkey:bigint,l_linenumber:int,l_extendedprice:double,l_discount:double>" in plan
