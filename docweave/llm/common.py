@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 from ..runtime import discard, materialize, ship_package
 
 MASK64 = (1 << 64) - 1
+#: Rows that a Python worker handles at once.
+SLICE = 1000
 
 
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], object]], schema: T.StructType | str) -> DataFrame:
@@ -36,9 +38,16 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], objec
 
 
 def arrow_tasks(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    """``mapInArrow`` on executors that have this package."""
+    """``mapInArrow`` on executors that have this package; batches are cut to ``SLICE`` rows, so that what a worker
+    makes of one stays small."""
     ship_package(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                yield batch.slice(at, SLICE)
+
+    return df.mapInArrow(lambda batches: run(sliced(batches)), schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
