@@ -149,16 +149,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     joined by one space; null where nothing was removed) and words_sha256 (of all its words, space-joined)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     scan = common.materialize(_scan(rows, length, k), "substring-scan")
-    lows = scan.filter("doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("low"))
+    # what is joined to rows of a hot key is written first: a join of two plain shuffles can be split by its skew
+    lows = scan.filter("doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).filter("n > 1").select("sha", "low")
+    lows = common.materialize(lows, "substring-copies")
     facts = common.materialize(scan.select("doc_id", "n_words", "sha", "tag").join(lows, "sha", "left"), "substring-facts")
     whole = f"low < doc_id and n_words >= {length}"  # copies of a smaller document
 
-    own = scan.join(facts.filter(f"doc_id is not null and n_words >= {length} and low = doc_id").select("doc_id", "tag").distinct(), ["doc_id", "tag"], "left_semi")
+    own = scan.join(facts.filter(f"doc_id is not null and n_words >= {length} and coalesce(low, doc_id) = doc_id").select("doc_id", "tag").distinct(), ["doc_id", "tag"], "left_semi")
     mins = own.select("doc_id", F.explode("mins").alias("m"))
     shared = mins.groupBy("m").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("m")
+    shared = common.materialize(shared, "substring-shared")
     wanted = mins.join(shared, "m").groupBy("doc_id").agg(F.collect_set("m").alias("shared"))
     windows = common.materialize(_emit(rows.join(wanted, "doc_id"), length, k), "substring-windows")
     first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("h1", "h2", "low")
+    first = common.materialize(first, "substring-first")
     hits = windows.join(first, ["h1", "h2"]).filter("doc_id > low").select("doc_id", "tag", "pos")
     hits = common.materialize(hits.groupBy("doc_id").agg(F.collect_list(F.struct("tag", "pos")).alias("hits")), "substring-hits")
 
