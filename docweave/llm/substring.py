@@ -161,10 +161,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = common.materialize(shared, "substring-shared")
     wanted = mins.join(shared, "m").groupBy("doc_id").agg(F.collect_set("m").alias("shared"))
     windows = common.materialize(_emit(rows.join(wanted, "doc_id"), length, k), "substring-windows")
+    for done in (scan, shared):  # the windows are on disk: nothing reads these again
+        common.discard(done)
     first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("h1", "h2", "low")
     first = common.materialize(first, "substring-first")
     hits = windows.join(first, ["h1", "h2"]).filter("doc_id > low").select("doc_id", "tag", "pos")
     hits = common.materialize(hits.groupBy("doc_id").agg(F.collect_list(F.struct("tag", "pos")).alias("hits")), "substring-hits")
+    for done in (windows, first):
+        common.discard(done)
 
     cut = _cut(rows.join(hits, "doc_id"), length)
     marked = hits.select("doc_id", F.explode(F.array_distinct(F.col("hits.tag"))).alias("tag"))
