@@ -108,14 +108,17 @@ def templates(docs: DataFrame, min_texts: int = MIN_TEXTS, depth: int = DEPTH, a
     parsed = common.materialize(_parsed(keyed, depth).distinct(), "lines-parsed")
     counted = parsed.groupBy("leaf", "template").agg(F.count("*").alias("texts"))
     counted = common.materialize(counted, "lines-counted")
-    recurring = counted.filter(F.col("texts") >= min_texts).select("template").distinct()
+    recurring = counted.filter(F.col("texts") >= min_texts).select("template")  # a template has one leaf
     drop = parsed.join(recurring, "template").groupBy("k1", "k2").agg(F.collect_set("template").alias("drop"))
 
     rare = counted.filter(F.col("texts") < min_texts)
     leaves = rare.groupBy("leaf").agg(F.sum("texts").alias("texts")).filter(F.col("texts") >= min_texts).select("leaf")
     reach = parsed.join(rare.select("leaf", "template").join(leaves, "leaf"), ["leaf", "template"], "left_semi")
     wanted = common.materialize(reach.groupBy("k1", "k2").agg(F.collect_set("leaf").alias("leaves")), "lines-leaves")
-    once = keyed.join(wanted, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("k1", "k2", "text", "leaves")
+    # one row for a text: by other hashes than the join's, so that a hot text's rows can be split in the join and each
+    # part sends one row on
+    met = keyed.join(wanted, ["k1", "k2"]).select(F.xxhash64("k1", "k2").alias("g1"), F.xxhash64("k2", "k1").alias("g2"), "k1", "k2", "text", "leaves")
+    once = met.dropDuplicates(["g1", "g2"]).select("k1", "k2", "text", "leaves")
     found = _tokens(once, depth).groupBy("leaf", "pos", "token").agg(F.count("*").alias("n"))
     places = found.groupBy("leaf", "pos").agg(F.sum("n").alias("n"), F.max(F.struct("n", "token")).alias("best"))
     steady = F.col("best.n") >= agree * F.col("n")
