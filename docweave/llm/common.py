@@ -145,16 +145,17 @@ def pieces(texts: list, limit: int = 1 << 20) -> Iterator[tuple[int, list[bytes]
 # --------------------------------------------------------------------------------------------------------------
 # connected components
 # --------------------------------------------------------------------------------------------------------------
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)`` (64-bit node ids): rows (node, root), root the smallest node.
 
     Alternates large-star and small-star (Kiveris et al. 2014): each round is two partial-aggregated minima and two
-    joins on node ids, and stops when a round changes nothing.  Hot centres are joined against one row per node, so
-    adaptive execution can split them; nothing is collected but one checksum per round.
+    joins on node ids, and ends after the round that changes nothing, which the method's proof puts at the square of the
+    logarithm of the number of nodes at most.  Hot centres are joined against one row per node, so adaptive execution
+    can split them; nothing is collected but one checksum per round.  The result reads a table in the shared folder.
     """
     e = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
     seen = None
-    for _ in range(max_rounds):
+    while True:
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -170,7 +171,20 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         if mark == seen:
             break
         seen = mark
-    else:
-        raise RuntimeError("components did not settle")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+    out = e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+    out._docweave_path = e._docweave_path
+    return out
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``docs`` has it."""
+    have = {c.lower() for c in docs.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+def row_hash(docs: DataFrame):
+    """A hash of all columns of a row; maps, which have no order, by their JSON."""
+    return F.xxhash64(*[F.to_json(F.struct(docs[c])) if "map<" in kind else docs[c] for c, kind in docs.dtypes])

@@ -3,36 +3,45 @@
 Each line walks a tree of fixed depth: first its token count, then its ``depth`` leading tokens, with tokens that
 hold a digit generalised to a variable.  Two kinds of template can recur across documents and are dropped:
   * exact ones: all tokens, digit-bearing ones generalised;
-  * leaf templates: in a leaf that many texts reach with lines of their own, a position where one token stands in at
-    least ``agree`` of the lines is constant, any other is a variable field.  The template counts only if at least
-    half the positions behind the leading tokens are constant, so that prose which merely begins alike stays.
-A template recurs when at least ``min_texts`` different texts hold it.  Exact copies of a text count once, and a text
-of which more than ``max_share`` of the words would go is no carrier of boilerplate but a copy or a text of its own:
-it is left whole for near-duplicate removal.
+  * patterns: lines of one leaf that agree with each other.  Behind the leading tokens each token of a line has a
+    support, the number of different lines of the leaf with that token in that place.  The upper half of a line's
+    supports sets its level; tokens with at least ``agree`` of that level are constant, the others are variable
+    fields.  Lines with the same constants are one template, so a leaf holds as many templates as there are, each
+    at its own level, and prose that merely begins alike shares none.
+
+A template recurs by the number of texts that differ around it.  A text's surroundings of a line are two MinHash
+values of the 3-word runs of its other templates; d1 and d2 different values and d12 different pairs of them make
+d1 + d2 - d12 texts.  Texts without anything in common count one each; copies share both values and near copies one
+of them at least, so a group of either counts about once, and stays the business of near-duplicate removal.  Lines
+of n tokens need ``min_texts`` - n / 5 such texts, 3 at least.  What recurs is dropped from every text that holds it,
+whatever its share of the text.
 
 Lines of hot templates are counted by partial aggregation of hashes; a text is read three times, but never shuffled
 except to meet its own list of lines, by its hash.
 
-Defined results: null texts have no lines and stay null; blank lines are kept; repeated rows and rows that share a
-doc_id are treated by their own text; texts of any length are parsed whole; an empty table gives an empty result;
-other columns pass through untouched, whatever their names.
+Defined results: null texts have no lines and stay null; blank lines are kept; a text of recurring lines only becomes
+its blank lines, or empty; repeated rows and rows that share a doc_id are treated by their own text; texts of any
+length are parsed whole; a tie at a level's edge is constant; an empty table gives an empty result; other columns pass
+through untouched, whatever their names, but for those that are named as ``counters``, which are replaced.
 """
 
 from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
 
-MIN_TEXTS, DEPTH, AGREE, MAX_SHARE = 10, 3, 0.8, 0.5
+MIN_TEXTS, DEPTH, AGREE, LEAST_TEXTS, TOKENS_PER_TEXT = 10, 3, 0.8, 3, 5
 VARIABLE = b"<*>"
 _DIGIT = re.compile(rb"[0-9]")
+_AROUND = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
 
 
 def parse(line: bytes, depth: int = DEPTH) -> tuple[int, int, list[bytes]] | None:
@@ -54,132 +63,181 @@ def _raw(text) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
+def _minima(lines: list[bytes]) -> list[tuple[int, int]]:
+    """Two minima of the hashes of each line's 3-word runs (a shorter line is one run); no line is blank."""
+    words = common.Words(lines)
+    first, n = words.first[:-1], np.diff(words.first)
+    runs = np.concatenate((common.rolling(words.hash, 3, common._BASES[1]), np.zeros(2, np.uint64)))
+    short = n < 3
+    runs[first[short]] = words.hash[first[short]] * np.uint64(5) + words.hash[first[short] + n[short] - 1]
+    edges = np.column_stack((first, first + np.maximum(1, n - 2))).reshape(-1)
+    runs = np.append(runs, np.uint64(0))  # the last edge may be the end
+    return list(zip(*(np.minimum.reduceat(common.mix64(runs ^ salt), edges)[::2].view(np.int64).tolist() for salt in _AROUND), strict=True))
+
+
+def surroundings(minima: dict[int, tuple[int, int]]) -> dict[int, tuple[int, int]]:
+    """For each template of a text the smallest minima of its other templates, 0 where there is no other."""
+    out = {t: [0, 0] for t in minima}
+    if len(minima) > 1:
+        for k in range(2):
+            low, second = sorted((m[k], t) for t, m in minima.items())[:2]
+            for t in minima:
+                out[t][k] = second[0] if t == low[1] else low[0]
+    return {t: tuple(o) for t, o in out.items()}
+
+
 def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
     """The texts with a 128-bit hash as their key."""
     return docs.select(F.xxhash64(F.col(text_col), F.lit(1)).alias("k1"), F.xxhash64(F.lit(2), F.col(text_col)).alias("k2"), F.col(text_col).alias("text"))
 
 
 def _parsed(keyed: DataFrame, depth: int) -> DataFrame:
-    """(k1, k2, leaf, template) of the different lines of each text."""
+    """(k1, k2, leaf, template, n, c1, c2) of the different templates of each text: tokens and surroundings."""
 
     def make():
         def step(batch: pa.RecordBatch):
-            for s in range(0, batch.num_rows, 500):
-                part = batch.slice(s, 500)
-                rows, leaves, templates = [], [], []
-                for i, t in enumerate(part.column(2)):
-                    own = {p[:2] for line in set(_raw(t.as_py()).split(b"\n")) if (p := parse(line, depth))}
-                    rows += [i] * len(own)
-                    leaves += [o[0] for o in own]
-                    templates += [o[1] for o in own]
-                at = pa.array(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(leaves, pa.int64()), pa.array(templates, pa.int64())], ["k1", "k2", "leaf", "template"])
+            for at, texts in common.pieces(batch.column(2).to_pylist()):
+                owner, lines, parsed = [], [], []
+                for i, text in enumerate(texts):
+                    for line in dict.fromkeys(text.split(b"\n")):
+                        if p := parse(line, depth):
+                            owner.append(at + i)
+                            lines.append(line)
+                            parsed.append(p)
+                if not lines:
+                    continue
+                own: dict[int, dict[int, tuple[int, int]]] = {}
+                facts: dict[tuple[int, int], tuple[int, int]] = {}
+                for i, p, m in zip(owner, parsed, _minima(lines), strict=True):
+                    had = own.setdefault(i, {})
+                    had[p[1]] = tuple(map(min, m, had[p[1]])) if p[1] in had else m
+                    facts[i, p[1]] = p[0], len(p[2])
+                rows = [(i, *facts[i, t][:1], t, facts[i, t][1], *c) for i, had in own.items() for t, c in surroundings(had).items()]
+                row, *columns = (pa.array(c, pa.int64()) for c in zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *columns], ["k1", "k2", "leaf", "template", "n", "c1", "c2"])
 
         return step
 
-    return common.map_arrow(keyed, make, "k1 long, k2 long, leaf long, template long")
+    return common.map_arrow(keyed, make, "k1 long, k2 long, leaf long, template long, n long, c1 long, c2 long")
 
 
 def _tokens(wanted: DataFrame, depth: int) -> DataFrame:
-    """(leaf, pos, token, line) of the lines whose leaf is in the row's ``leaves``; hashes, one line each."""
+    """(leaf, template, pos, token) behind the leading tokens, of one line of each template in ``templates``; hashes."""
 
     def make():
         def step(batch: pa.RecordBatch):
-            for s in range(0, batch.num_rows, 200):
-                part = batch.slice(s, 200)
-                out: list[tuple[int, int, int]] = []
-                for t, leaves in zip(part.column(2), part.column(3), strict=True):
-                    own = frozenset(leaves.as_py())
-                    lines = {p[1]: p for line in set(_raw(t.as_py()).split(b"\n")) if (p := parse(line, depth)) and p[0] in own}
-                    for leaf, _, tokens in lines.values():
-                        out += [(leaf, n, _signed(xxhash.xxh64_intdigest(w))) for n, w in enumerate(tokens)]
+            for text, templates in zip(batch.column(0), batch.column(1), strict=True):
+                own = set(templates.as_py())
+                out: list[tuple[int, int, int, int]] = []
+                for line in _raw(text.as_py()).split(b"\n"):
+                    if own and (p := parse(line, depth)) and p[1] in own:
+                        own.discard(p[1])
+                        out += [(p[0], p[1], at, _signed(xxhash.xxh64_intdigest(p[2][at]))) for at in range(depth, len(p[2]))]
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64()), strict=True)], ["leaf", "pos", "token"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["leaf", "template", "pos", "token"])
 
         return step
 
-    return common.map_arrow(wanted, make, "leaf long, pos int, token long")
+    return common.map_arrow(wanted, make, "leaf long, template long, pos long, token long")
+
 
+def _needed(min_texts: int) -> Column:
+    return F.greatest(F.lit(LEAST_TEXTS), F.lit(min_texts) - F.floor(F.col("n") / TOKENS_PER_TEXT))
 
-def templates(docs: DataFrame, min_texts: int = MIN_TEXTS, depth: int = DEPTH, agree: float = AGREE, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """By text (k1, k2): ``drop`` (hashes of its recurring exact templates) and ``fields`` (leaf templates it may
-    meet: leaf, positions and tokens that are constant)."""
+
+def _recurring(rows: DataFrame, key: str, min_texts: int) -> DataFrame:
+    """The values of ``key`` that enough different texts hold, of rows (key, n, c1, c2)."""
+    once = rows.groupBy(key, "c1", "c2").agg(F.first("n").alias("n"))
+    texts = F.count_distinct("c1") + F.count_distinct("c2") - F.count("*")
+    return once.groupBy(key).agg(F.first("n").alias("n"), texts.alias("texts")).filter(F.col("texts") >= _needed(min_texts)).select(key)
+
+
+def templates(docs: DataFrame, min_texts: int = MIN_TEXTS, depth: int = DEPTH, agree: float = AGREE, text_col: str = "text") -> DataFrame:
+    """By text (k1, k2): ``drop``, the exact templates that recur, by themselves or by their pattern."""
     keyed = _keyed(docs, text_col)
-    parsed = common.materialize(_parsed(keyed, depth).distinct(), "lines-parsed")
-    counted = parsed.groupBy("leaf", "template").agg(F.count("*").alias("texts"))
-    counted = common.materialize(counted, "lines-counted")
-    recurring = counted.filter(F.col("texts") >= min_texts).select("template")  # a template has one leaf
-    drop = parsed.join(recurring, "template").groupBy("k1", "k2").agg(F.collect_set("template").alias("drop"))
-
-    rare = counted.filter(F.col("texts") < min_texts)
-    leaves = rare.groupBy("leaf").agg(F.sum("texts").alias("texts")).filter(F.col("texts") >= min_texts).select("leaf")
-    reach = parsed.join(rare.select("leaf", "template").join(leaves, "leaf"), ["leaf", "template"], "left_semi")
-    wanted = common.materialize(reach.groupBy("k1", "k2").agg(F.collect_set("leaf").alias("leaves")), "lines-leaves")
+    parsed = common.materialize(_parsed(keyed, depth), "lines-parsed")
+    often = parsed.groupBy("leaf", "template").agg(F.first("n").alias("n"), F.count_distinct("c1").alias("most"))
+    often = common.materialize(often, "lines-counted")
+    maybe = often.filter(F.col("most") >= _needed(min_texts)).select("template")  # a template has one leaf
+    exact = common.materialize(_recurring(parsed.join(maybe, "template").select("template", "n", "c1", "c2"), "template", min_texts), "lines-exact")
+
+    rare = often.filter(F.col("n") >= depth + 2).join(exact, "template", "left_anti")
+    leaves = rare.groupBy("leaf").agg(F.sum("most").alias("most"), F.first("n").alias("n")).filter(F.col("most") >= _needed(min_texts)).select("leaf")
+    reach = parsed.join(rare.join(leaves, "leaf").select("template"), "template")
+    reach = common.materialize(reach, "lines-reach")
+    owner = reach.groupBy("template").agg(F.min(F.struct("k1", "k2")).alias("own")).select("own.*", "template")
+    wanted = common.materialize(owner.groupBy("k1", "k2").agg(F.collect_list("template").alias("templates")), "lines-owners")
     # one row for a text: by other hashes than the join's, so that a hot text's rows can be split in the join and each
     # part sends one row on
-    met = keyed.join(wanted, ["k1", "k2"]).select(F.xxhash64("k1", "k2").alias("g1"), F.xxhash64("k2", "k1").alias("g2"), "k1", "k2", "text", "leaves")
-    once = met.dropDuplicates(["g1", "g2"]).select("k1", "k2", "text", "leaves")
-    found = _tokens(once, depth).groupBy("leaf", "pos", "token").agg(F.count("*").alias("n"))
-    places = found.groupBy("leaf", "pos").agg(F.sum("n").alias("n"), F.max(F.struct("n", "token")).alias("best"))
-    steady = F.col("best.n") >= agree * F.col("n")
-    shape = places.groupBy("leaf").agg(F.max("n").alias("n"), F.count("*").alias("length"), F.collect_list(F.when(steady, F.struct("pos", F.col("best.token").alias("token")))).alias("constant"))
-    behind = F.col("length") - depth
-    shape = shape.filter((F.col("n") >= min_texts) & (behind >= 2) & ((F.size("constant") - depth) * 2 >= behind)).select("leaf", "constant")
-    fields = wanted.select("k1", "k2", F.explode("leaves").alias("leaf")).join(shape, "leaf").groupBy("k1", "k2").agg(F.collect_list(F.struct("leaf", "constant")).alias("fields"))
-    return drop, fields
-
-
-def clean(text: str | None, drop: frozenset[int], fields: dict[int, list[tuple[int, int]]], max_share: float = MAX_SHARE, depth: int = DEPTH) -> tuple[str | None, int, int]:
-    """(text without its recurring lines, lines with a word, lines dropped)."""
+    met = keyed.join(wanted, ["k1", "k2"]).select(F.xxhash64("k1", "k2").alias("g1"), F.xxhash64("k2", "k1").alias("g2"), "text", "templates")
+    tokens = common.materialize(_tokens(met.dropDuplicates(["g1", "g2"]).select("text", "templates"), depth), "lines-tokens")
+    support = tokens.groupBy("leaf", "pos", "token").agg(F.count("*").alias("lines"))
+    line = tokens.join(support, ["leaf", "pos", "token"]).groupBy("leaf", "template").agg(F.sort_array(F.collect_list(F.struct("lines", "pos", "token")), asc=False).alias("own"))
+    level = F.col("own")[F.ceil(F.size("own") / 2).cast("int") - 1]["lines"]
+    constant = F.filter("own", lambda x: x["lines"] >= level * agree)
+    pattern = line.select("template", F.xxhash64("leaf", F.array_sort(F.transform(constant, lambda x: F.struct(x["pos"], x["token"])))).alias("pattern"))
+    pattern = common.materialize(pattern, "lines-patterns")
+    shared = _recurring(reach.join(pattern, "template").select("pattern", "n", "c1", "c2"), "pattern", min_texts)
+    gone = exact.unionByName(pattern.join(shared, "pattern").select("template"))
+    drop = common.materialize(parsed.join(gone, "template").groupBy("k1", "k2").agg(F.collect_set("template").alias("drop")), "lines-drop")
+    for done in (parsed, often, exact, reach, wanted, tokens, pattern):
+        common.discard(done)
+    return drop
+
+
+def clean(text: str | None, drop: frozenset[int], depth: int = DEPTH) -> tuple[str | None, int, int, float]:
+    """(text without its recurring lines, lines with a word, lines dropped, their share of the words)."""
     if text is None:
-        return None, 0, 0
+        return None, 0, 0, 0.0
     kept, words, gone, n, dropped = [], 0, 0, 0, 0
     for line in _raw(text).split(b"\n"):
         p = parse(line, depth)
         if p:
             n += 1
             words += len(p[2])
-            if p[1] in drop or (p[0] in fields and all(_signed(xxhash.xxh64_intdigest(p[2][at])) == token for at, token in fields[p[0]])):
+            if p[1] in drop:
                 gone += len(p[2])
                 dropped += 1
                 continue
         kept.append(line)
-    if not dropped or gone > max_share * words:
-        return text, n, 0
-    return b"\n".join(kept).decode("utf-8", "surrogatepass"), n, dropped
+    return (b"\n".join(kept).decode("utf-8", "surrogatepass") if dropped else text), n, dropped, gone / max(1, words)
 
 
-def drop_lines(docs: DataFrame, min_texts: int = MIN_TEXTS, depth: int = DEPTH, agree: float = AGREE, max_share: float = MAX_SHARE, text_col: str = "text") -> DataFrame:
-    """``docs`` with the recurring lines gone from the text, and new columns n_lines and n_dropped."""
-    drop, fields = templates(docs, min_texts, depth, agree, text_col)
-    lists = drop.join(fields, ["k1", "k2"], "full").select(F.col("k1").alias("lk1_"), F.col("k2").alias("lk2_"), F.col("drop").alias("drop_"), F.col("fields").alias("fields_"))
-    lists = common.materialize(lists, "lines-drop")
+COUNTERS = ("n_lines", "n_dropped", "dropped_share")
+
+
+def drop_lines(docs: DataFrame, min_texts: int = MIN_TEXTS, depth: int = DEPTH, agree: float = AGREE, text_col: str = "text", counters: tuple[str, str, str] = COUNTERS) -> DataFrame:
+    """``docs`` with the recurring lines gone from the text, and the columns ``counters``: lines with a word, lines
+    dropped, and the share of the text's words that went with them."""
+    lists = templates(docs, min_texts, depth, agree, text_col).select(F.col("k1").alias("lk1_"), F.col("k2").alias("lk2_"), F.col("drop").alias("drop_"))
     names = docs.columns
-    hold = docs.select(F.struct(F.lit(0).alias("pad_"), *[docs[c] for c in names if c != text_col]).alias("rest_"), F.col(text_col).alias("text_"))
+    # all other columns travel in one, so that no name of theirs can meet one of ours
+    hold = docs.select(F.struct(F.lit(0).alias("_"), *[docs[c].alias(f"c{i}") for i, c in enumerate(names) if c != text_col]).alias("rest_"), docs[text_col].alias("text_"))
     keyed = hold.withColumn("k1_", F.xxhash64("text_", F.lit(1))).withColumn("k2_", F.xxhash64(F.lit(2), "text_"))
-    joined = keyed.join(lists, (F.col("k1_") == F.col("lk1_")) & (F.col("k2_") == F.col("lk2_")), "left").select("rest_", "text_", "drop_", "fields_")
+    joined = keyed.join(lists, (F.col("k1_") == F.col("lk1_")) & (F.col("k2_") == F.col("lk2_")), "left").select("rest_", "text_", "drop_")
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = []
-            for t, d, f in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
+            for t, d in zip(batch.column(1), batch.column(2), strict=True):
                 text = t.as_py()
-                if not d.is_valid and not f.is_valid:
-                    rows.append((text, sum(1 for line in _raw(text).split(b"\n") if line.strip()), 0))
-                    continue
-                fields = {x["leaf"]: [(c["pos"], c["token"]) for c in x["constant"]] for x in f.as_py() or []}
-                rows.append(clean(text, frozenset(d.as_py() or ()), fields, max_share, depth))
-            texts, n, gone = zip(*rows, strict=True)
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], ["rest_", "text_", "n_lines", "n_dropped"])
+                if d.is_valid:
+                    rows.append(clean(text, frozenset(d.as_py()), depth))
+                else:
+                    rows.append((text, sum(1 for line in _raw(text).split(b"\n") if line.strip()), 0, 0.0))
+            texts, *counts = zip(*rows, strict=True)
+            columns = [pa.array(c, k) for c, k in zip(counts, (pa.int64(), pa.int64(), pa.float64()), strict=True)]
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), *columns], ["rest_", "text_", "n1_", "n2_", "n3_"])
 
         return step
 
-    kind = T.StructType([joined.schema["rest_"], T.StructField("text_", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    out = common.map_arrow(joined, make, kind)
-    return out.select(*[F.col("text_").alias(c) if c == text_col else F.col("rest_").getField(c).alias(c) for c in names], "n_lines", "n_dropped")
+    counts = [T.StructField("n1_", T.LongType()), T.StructField("n2_", T.LongType()), T.StructField("n3_", T.DoubleType())]
+    out = common.map_arrow(joined, make, T.StructType([joined.schema["rest_"], T.StructField("text_", T.StringType()), *counts]))
+    own = [F.col("text_").alias(c) if c == text_col else F.col("rest_")[f"c{i}"].alias(c) for i, c in enumerate(names) if c.lower() not in {x.lower() for x in counters}]
+    return out.select(*own, *[F.col(f"n{k + 1}_").alias(c) for k, c in enumerate(counters)])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """op8: lines with a word, lines dropped and the remaining text's SHA-256 of every document."""
+    """op8: lines with a word, lines dropped, their share of the words and the remaining text's SHA-256 of every document."""
     out = drop_lines(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_lines", "n_dropped", "dropped_share", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

@@ -1,14 +1,24 @@
-"""Near copies by 5-word shingles: MinHash bands give candidates, every candidate is verified by its Jaccard similarity.
+"""Near copies by word shingles and Jaccard similarity: the mode of op5 beyond the radius of a ball.
 
 A text is the set of its different runs of ``shingle`` lower-cased words (a shorter one is its whole run).  Texts of one
 set are one node.  ``bands`` hashes of ``rows`` minima each put a node into that many groups; two nodes of similarity s
-share one with probability 1 - (1 - s**rows)**bands (0.9996 at 0.8).  In each group every node is first held against the
-group's smallest one, which joins copies of it in linear work; then, where a group still spans several components, all
-its pairs between different components, whose number can grow with the square of the group.  Links are the pairs whose
-sets have at least ``similarity``.
-
-Defined results: null and wordless texts are one set and linked to each other; rows without an id are left out; an
-empty table gives an empty result; other columns are ignored.
+share one with probability 1 - (1 - s**rows)**bands (0.9996 at 0.8).  Sharing a group makes two nodes candidates; which
+candidates have at least ``similarity`` is found without listing the pairs of a group:
+
+1. The members of all groups are sorted by group and then by further minima, and each is held against the next
+   ``ahead`` ones, which share the most minima with it.  That is linear work, and joins most copies of a text.
+2. In groups that still span several components, an exact prefix filter: with shingles in one order, rare ones first,
+   two sets of the similarity share one of the first n - ceil(similarity * n) + 1 shingles of either.  A text that was
+   edited a lot has shingles of its own there and meets nobody.  Who shares one is held against the members of other
+   components if their lengths and positions allow the similarity (length and positional filter).
+
+Both steps verify by the Jaccard similarity of the whole sets, so every link is right, and no link among candidates is
+lost that would join two components.
+
+Defined results: null and wordless texts are one set and linked to each other; rows without an id are left out; rows
+that share an id are nodes by their own texts and take the component of their own text; texts of any length are read
+whole; ties in the sort are in the order of the set's hash; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +33,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 5
+SHINGLE, SIMILARITY, BANDS, ROWS, AHEAD = 5, 0.8, 20, 5, 2
+#: Further minima by which the members of a group are sorted, 16 bits of each.
+TAIL = 8
 
 
 def _shingles(texts: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -54,7 +66,8 @@ def _key(own: np.ndarray) -> int:
 
 
 def _groups(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, key, groups) of every row: the hash of its set and one group for each band."""
+    """(doc_id, key, groups, codes) of every row: the hash of its set, one group for each band, and 16 bits of each
+    minimum, the first ``TAIL`` once more at the end."""
 
     def make():
         times, plus = _family(bands * rows)
@@ -64,19 +77,23 @@ def _groups(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
                 h, first = _shingles(texts, shingle)
                 lows = [np.minimum.reduceat(h * a + b, first[:-1]) for a, b in zip(times, plus, strict=True)]
                 groups = np.empty((len(texts), bands), dtype=np.uint64)
+                codes = np.empty((len(texts), bands * rows + TAIL), dtype=">u2")
                 for k in range(bands):
                     g = np.full(len(texts), k + 1, dtype=np.uint64)
                     for low in lows[k * rows : (k + 1) * rows]:
                         g = common.mix64(g * np.uint64(_BASE) ^ low)
                     groups[:, k] = g
+                for k in range(bands * rows + TAIL):
+                    codes[:, k] = common.mix64(lows[k % (bands * rows)]) >> np.uint64(48)
                 keys = [_key(np.unique(h[a:b])) for a, b in zip(first[:-1], first[1:], strict=True)]
                 flat = pa.array(groups.reshape(-1).view(np.int64))
                 offsets = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * bands)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(keys, pa.int64()), pa.ListArray.from_arrays(offsets, flat)], ["doc_id", "key", "groups"])
+                columns = [batch.column(0).slice(at, len(texts)), pa.array(keys, pa.int64()), pa.ListArray.from_arrays(offsets, flat), pa.array([c.tobytes() for c in codes], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "groups", "codes"])
 
         return step
 
-    return common.map_arrow(docs, make, "doc_id long, key long, groups array<long>")
+    return common.map_arrow(docs, make, "doc_id long, key long, groups array<long>, codes binary")
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -102,13 +119,28 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
     return common.map_arrow(docs, make, "key long, own array<int>")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def _neighbours(member: DataFrame, ahead: int) -> DataFrame:
+    """Pairs (a, b) of members (group, tail, key) of one group, at most ``ahead`` places apart in the order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, key = np.empty(0, np.int64), np.empty(0, np.int64)  # the last rows of the batch before
+        for batch in batches:
+            old = len(key)
+            group, key = np.concatenate((group, batch.column(0).to_numpy())), np.concatenate((key, batch.column(1).to_numpy()))
+            for far in range(1, min(ahead, len(key) - 1) + 1):
+                at = np.flatnonzero(group[far:] == group[:-far])
+                at = at[at + far >= old]
+                a, b = key[at], key[at + far]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            group, key = group[-ahead:], key[-ahead:]
+
+    ordered = member.repartitionByRange("group", "tail", "key").sortWithinPartitions("group", "tail", "key")
+    return common.arrow_tasks(ordered.select("group", "key"), run, "a long, b long")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose sets have at least the similarity; a table."""
-    pairs = common.materialize(pairs.distinct(), "near-pairs")
-    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    wanted = nodes.join(keys, "key", "left_semi").select(F.col("low").alias("doc_id"), "key")
-    sets = common.materialize(_sets(docs.join(wanted, "doc_id").select("doc_id", "text", "key"), shingle).dropDuplicates(["key"]), "near-sets")
-    met = pairs.join(sets.select(F.col("key").alias("a"), F.col("own").alias("own_a")), "a").join(sets.select(F.col("key").alias("b"), F.col("own").alias("own_b")), "b").select("a", "b", "own_a", "own_b")
+    met = pairs.distinct().join(sets.select(F.col("key").alias("a"), F.col("own").alias("own_a")), "a").join(sets.select(F.col("key").alias("b"), F.col("own").alias("own_b")), "b").select("a", "b", "own_a", "own_b")
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -122,49 +154,68 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int,
 
         return step
 
-    out = common.materialize(common.map_arrow(met, make, "a long, b long"), "near-links")
-    common.discard(sets)
-    return out
-
-
-def _across(mixed: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components in each row's ``members`` (key, root)."""
-
-    def make():
-        def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            for members in batch.column(0):
-                key, root = (members.values.field(n).to_numpy() for n in ("key", "root"))
-                order = np.argsort(root, kind="stable")
-                key, root = key[order], root[order]
-                ends = np.searchsorted(root, root, side="right")
-                for k, end in zip(key, ends, strict=True):
-                    rest = key[end:]
-                    if len(rest):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rest, k)), pa.array(np.maximum(rest, k))], ["a", "b"])
-
-        return step
-
-    return common.map_arrow(mixed, make, "a long, b long")
-
-
-def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, component_id (the smallest doc_id that its links reach, itself included) of every row with an id."""
-    docs = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return common.materialize(common.map_arrow(met, make, "a long, b long"), "near-links")
+
+
+def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """(s, key, n, pos): the shingles in the prefix of each set of n, and their places in the order, of those that
+    stand in two sets or more.  The order is by the number of sets that hold a shingle, then by the shingle."""
+    held = sets.select("key", F.size("own").alias("n"), F.explode("own").alias("s"))
+    shared = held.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1")
+    own = held.join(shared, "s").groupBy("key").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "s"))).alias("own"))
+    alone = F.col("n") - F.size("own")  # shingles of this set only come first, and meet nobody
+    reach = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9).cast("int") + 1
+    first = own.select("key", "n", alone.alias("alone"), F.expr("own").alias("own"), F.greatest(F.lit(0), reach - alone).alias("take")).filter("take > 0")
+    return first.select("key", "n", "alone", F.posexplode(F.slice("own", F.lit(1), F.col("take")))).select("col.s", "key", "n", (F.col("pos") + F.col("alone")).alias("pos"))
+
+
+def _across(prefix: DataFrame, linked: DataFrame, similarity: float) -> DataFrame:
+    """Candidate pairs (a, b) of different components that share a shingle of both prefixes: in each shingle's group the
+    members outside its largest component, each with the members of other components."""
+    rooted = prefix.join(linked.select(F.col("node").alias("key"), "root"), "key", "left").select("s", "key", "n", "pos", F.coalesce("root", "key").alias("root"))
+    sizes = rooted.groupBy("s", "root").agg(F.count("*").alias("size"))
+    spread = sizes.groupBy("s").agg(F.max(F.struct("size", "root"))["root"].alias("major"), F.count("*").alias("roots")).filter("roots > 1").select("s", "major")
+    mixed = common.materialize(rooted.join(spread, "s"), "near-mixed")
+    x, y = mixed.filter("root <> major").alias("x"), mixed.alias("y")
+    apart = (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.major")) | (F.col("x.key") < F.col("y.key")))
+    lengths = (F.col("x.n") >= similarity * F.col("y.n") - 1e-9) & (F.col("y.n") >= similarity * F.col("x.n") - 1e-9)
+    rest = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
+    places = rest >= similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n")) - 1e-9
+    pairs = x.join(y, (F.col("x.s") == F.col("y.s")) & apart & lengths & places)
+    return pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b"))
+
+
+def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, ahead: int = AHEAD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, key (the hash of its set), component_id (the smallest doc_id that its links reach, itself included) of
+    every row with an id."""
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
     prints = common.materialize(_groups(docs, shingle, bands, rows), "near-prints")
-    nodes = common.materialize(prints.groupBy("key").agg(F.min("doc_id").alias("low")), "near-nodes")
-    member = prints.select("key", F.explode("groups").alias("group")).distinct()
-    shared = member.groupBy("group").agg(F.min("key").alias("a"), F.count("*").alias("n")).filter("n > 1").select("group", "a")
-    member = common.materialize(member.join(shared, "group"), "near-groups")  # groups of one node link nothing
-    stars = _verified(member.filter("a <> key").select("a", F.col("key").alias("b")), docs, nodes, shingle, similarity)
-    linked = common.materialize(common.components(stars), "near-roots")
+    nodes = prints.groupBy("key").agg(F.min("doc_id").alias("low"), F.first("groups").alias("groups"), F.first("codes").alias("codes"))
+    nodes = common.materialize(nodes, "near-nodes")
+    width = 2 * rows
+    tail = F.substring(F.col("codes"), (F.col("band") + 1) * width + 1, F.lit(2 * TAIL))
+    each = nodes.select("key", "codes", F.posexplode("groups").alias("band", "group")).select("group", "key", tail.alias("tail"))
+    shared = each.groupBy("group").agg(F.count("*").alias("n")).filter("n > 1").select("group")
+    member = common.materialize(each.join(shared, "group"), "near-groups")  # groups of one node link nothing
+
+    wanted = nodes.join(member.select("key").distinct(), "key", "left_semi").select(F.col("low").alias("doc_id"), "key")
+    sets = common.materialize(_sets(docs.join(wanted, "doc_id").select("doc_id", "text", "key"), shingle).dropDuplicates(["key"]), "near-sets")
+    close = _verified(_neighbours(member, ahead), sets, similarity)
+    linked = common.components(close)
 
     rooted = member.select("group", "key").join(linked.select(F.col("node").alias("key"), "root"), "key", "left").select("group", "key", F.coalesce("root", "key").alias("root"))
     mixed = rooted.groupBy("group").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("group")
-    members = rooted.join(mixed, "group").groupBy("group").agg(F.collect_list(F.struct("key", "root")).alias("members")).select("members")
-    tried = member.filter("a <> key").select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b"))
-    rest = _verified(_across(members).distinct().join(tried, ["a", "b"], "left_anti"), docs, nodes, shingle, similarity)
+    open_keys = rooted.join(mixed, "group").select("key").distinct()
+    prefix = _prefixes(sets.join(open_keys, "key", "left_semi"), similarity)
+    rest = _verified(_across(prefix, linked, similarity), sets, similarity)
+    common.discard(member)
+    common.discard(sets)
 
-    linked = common.components(stars.unionByName(rest))
+    common.discard(linked)
+    linked = common.components(close.unionByName(rest))
     roots = nodes.join(linked, nodes["key"] == linked["node"], "left").select("key", "low", F.coalesce("root", "key").alias("root"))
     lows = roots.groupBy("root").agg(F.min("low").alias("component_id"))
-    return prints.select("doc_id", "key").join(roots.join(lows, "root").select("key", "component_id"), "key").select("doc_id", "component_id")
+    named = common.materialize(roots.join(lows, "root").select("key", "component_id"), "near-named")
+    common.discard(nodes)
+    common.discard(linked)
+    return prints.select("doc_id", "key").join(named, "key").select("doc_id", "key", "component_id")

@@ -7,8 +7,12 @@ by their bit distance and closed into components.
 
 Defined results: a null or wordless text has fingerprint 0 and is linked like any other; equal texts share one
 fingerprint row; repeated rows with one doc_id keep one output row each; rows with a null doc_id get a fingerprint
-and a component like the others, but never name a component (its id is the smallest non-null doc_id, else null); an
-empty table gives an empty result; other columns are ignored.
+and a component like the others, but never name a component (its id is the smallest non-null doc_id, else null);
+texts of any length are read whole; a bit that exactly half the hashes set is 0; an empty table gives an empty result;
+other columns are ignored.
+
+Two bits hold nearly equal texts only.  ``similarity`` asks for all texts of that Jaccard similarity of their shingles
+instead, which no ball of a workable radius reaches (at 0.8 about ten of 64 bits differ): :mod:`.nearcopies`.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, nearcopies
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
@@ -70,20 +74,28 @@ def ball_edges(distinct_fps: DataFrame, radius: int = 2) -> DataFrame:
     if radius != 2:
         raise ValueError("ball hashing is laid out for radius 2: each group has 65 members at most")
     flips = F.array(F.lit(0).cast("long"), *[F.expr(f"shiftleft(1L, {i})") for i in range(64)])
-    variants = distinct_fps.select("fp", F.explode(flips).alias("flip")).select(F.col("fp").bitwiseXOR(F.col("flip")).alias("variant"), "fp")
+    # a small table is a few file splits: spread it before each row becomes 65
+    spread = distinct_fps.repartition(int(distinct_fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    variants = spread.select("fp", F.explode(flips).alias("flip")).select(F.col("fp").bitwiseXOR(F.col("flip")).alias("variant"), "fp")
     groups = variants.groupBy("variant").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1).select(F.array_sort("fps").alias("fps"))
     pairs = groups.select(F.explode(F.arrays_zip(F.expr("slice(fps, 1, size(fps) - 1)").alias("a"), F.expr("slice(fps, 2, size(fps) - 1)").alias("b"))).alias("p")).select("p.a", "p.b")
     return pairs.distinct().filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, radius: int = 2) -> DataFrame:
-    """One row per document: doc_id, fp, component_id (the smallest doc_id that its links reach, itself included)."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, radius: int = 2, similarity: float | None = None) -> DataFrame:
+    """One row per document: doc_id, fp, component_id (the smallest doc_id that its links reach, itself included).
+    With ``similarity``, links are by the Jaccard similarity of the shingles, fp is the hash of their set, and rows
+    without an id are left out."""
+    if similarity is not None:
+        return nearcopies.near_copies(docs, shingle, similarity, id_col=id_col, text_col=text_col).withColumnRenamed("key", "fp")
     prints = common.materialize(fingerprints(docs, id_col, text_col, shingle, seed), "simhash")
     nodes = common.materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-nodes")
     linked = common.components(ball_edges(nodes.select("fp"), radius))
     roots = nodes.join(linked, nodes["fp"] == linked["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lows = roots.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = roots.join(lows, "root").select("fp", "component_id")
+    named = common.materialize(roots.join(lows, "root").select("fp", "component_id"), "simhash-named")
+    common.discard(nodes)
+    common.discard(linked)
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
