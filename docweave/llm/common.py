@@ -177,6 +177,11 @@ def components(edges: DataFrame) -> DataFrame:
     return out
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """``df`` if its rows come from files without a shuffle, in one order for each task; else a table of it."""
+    return materialize(df, name) if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else df
+
+
 def free_name(docs: DataFrame, name: str) -> str:
     """``name``, with underscores added until no column of ``docs`` has it."""
     have = {c.lower() for c in docs.columns}

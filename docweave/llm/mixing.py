@@ -4,18 +4,22 @@
    broadcast): smoothed document counts of hashed words per domain (naive Bayes, ``buckets`` buckets, so the model has a
    proven size); the log ratios of a whole text's different words, of buckets with an evidence of at least ``evidence``, add up
    to the posteriors p(domain | document).  Domains without a labelled document in the table are left out.
-2. Rates r >= 0 solve the least squares problem whose residuals are, over domains d, the expected tokens (sum over
-   documents of r * tokens * p_d) less the target's, by projected gradients from r = 1.  The residuals are whitened
-   by the second moments of the posteriors, so the step length 1 is right for any data and rare domains converge as
-   fast as common ones.  Each round is one aggregation to as many numbers as there are domains; the rate itself is a
-   column expression of the rounds so far.
+2. Rates r >= 0 solve a least squares problem whose residuals are, over domains d, the expected tokens (sum over
+   documents of r * tokens * p_d) less the target's, with a weight of 1 / ``ease`` against that of moving a rate away
+   from 1, so that the solution is one and no few documents carry a domain.  Each round goes along the gradient and
+   projects the rate of every document onto its bounds: rate = 1 - (a price of each domain) * posterior, cut to the
+   bounds.  The prices move by the residuals, scaled by the second moments of the posteriors over the documents inside
+   their bounds, with the length among ``LENGTHS`` that gains most.  A round is two aggregations to a few numbers;
+   nothing about a document is written, as its rate is an expression of the prices.  Rounds end when the gradient is
+   zero up to ``tolerance`` (or no length gains any more); the last report says whether each domain is within ``tolerance`` of its
+   target (state 'met') or whether these rates, which come nearest, miss some (state 'nearest', with the residuals).
 
 Only DataFrame functions are used; what is collected are one row per domain and round.
 
 Defined results: null and empty texts have no tokens, the prior as posterior and a rate like any other; rows that
-share a doc_id (null included) count as one document; labels of unknown documents or with null columns are ignored;
-without labels every document belongs to the one domain 'unlabelled'; an empty table gives an empty result; other
-columns are ignored.
+share a doc_id (null included) count as one document; texts of any length are read whole; labels of unknown documents
+or with null columns are ignored; without labels every document belongs to the one domain 'unlabelled'; documents with
+equal posteriors have equal rates; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +32,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BUCKETS, SMOOTHING, EVIDENCE, MAX_LABELLED, ROUNDS = 1 << 18, 5.0, 0.9, 20_000, 40
+BUCKETS, SMOOTHING, EVIDENCE, MAX_LABELLED = 1 << 18, 5.0, 0.9, 20_000
+EASE, TOLERANCE, LENGTHS = 1e-3, 1e-3, [4.0**-i for i in range(9)]
 #: Domains of the labels table and their share of the mix's tokens.
 TARGETS = {"good": 0.92, "low": 0.06, "toxic": 0.02}
 
@@ -83,50 +88,81 @@ def posteriors(docs: DataFrame, domains: DataFrame, text_col: str = "text", **op
     return names, raised.select("doc_id", "tokens", *[(F.col(f"e{i}") / bottom).alias(f"p{i}") for i in k])
 
 
-def rates(posterior: DataFrame, names: list[str], targets: dict[str, float], budget: float | None = None, ceiling: float | None = None, rounds: int = ROUNDS, block: int = 10, tolerance: float = 1e-6) -> tuple[DataFrame, list[dict]]:
-    """(doc_id, tokens, p..., rate) and, by round, the expected share of each domain.
+def rates(posterior: DataFrame, names: list[str], targets: dict[str, float], budget: float | None = None, ceiling: float | None = None, tolerance: float = TOLERANCE, ease: float = EASE) -> tuple[DataFrame, list[dict]]:
+    """(doc_id, tokens, p..., rate) and, by round, a report: ``share`` and ``residual`` (expected less target) of each
+    domain, as parts of all tokens there are, and ``state``, which in the last one is 'met' or 'nearest'.
 
-    ``budget``: tokens of the mix (default: as many as there are); ``ceiling``: an upper bound of the rates.  The
+    ``budget``: tokens of the mix (default: as many as there are); ``ceiling``: an upper bound of the rates.
     """
-    goal = [targets.get(d, 0.0) for d in names]
-    goal = [g / (sum(goal) or 1.0) for g in goal]
     k = range(len(names))
-    now = common.materialize(posterior.withColumn("rate", F.lit(1.0)), "mixing-rates")
+    wanted = [targets.get(d, 0.0) for d in names]
+    now = common.materialize(posterior, "mixing-posteriors")
     total = float(now.agg(F.sum("tokens")).first()[0] or 0) or 1.0
-    share = (budget or total) / total
-    moments = now.agg(*[F.coalesce(F.sum(F.col("tokens") * F.col(f"p{i}") * F.col(f"p{j}")), F.lit(0.0)).alias(f"m{i}_{j}") for i in k for j in k]).first()
-    whiten = np.linalg.pinv(np.array([[moments[f"m{i}_{j}"] for j in k] for i in k], dtype=float) / total, rcond=1e-9)
-    steps: list[list[float]] = []
-    log: list[dict] = []
-    for n in range(rounds):
-        rate = _rate("rate", steps, ceiling)
-        sums = now.agg(*[F.coalesce(F.sum(rate * F.col("tokens") * F.col(f"p{i}")), F.lit(0.0)).alias(f"t{i}") for i in k]).first()
-        rest = [sums[i] / total - goal[i] * share for i in k]
-        log.append({d: sums[i] / total for i, d in enumerate(names)})
-        if n and max(abs(log[-1][d] - log[-2][d]) for d in names) < tolerance:
+    goal = np.array([w / (sum(wanted) or 1.0) for w in wanted]) * ((budget or total) / total)
+    over = F.col("tokens") / total
+    pairs = [(i, j) for i in k for j in k if i <= j]
+
+    def look(prices: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Residuals, and second moments of the posteriors over the documents inside their bounds."""
+        rate = F.col("rate")
+        inside = (rate > 0) if ceiling is None else (rate > 0) & (rate < float(ceiling))
+        row = now.withColumn("rate", _rate(prices, ceiling)).agg(
+            *[F.coalesce(F.sum(rate * over * F.col(f"p{i}")), F.lit(0.0)).alias(f"t{i}") for i in k],
+            *[F.coalesce(F.sum(F.when(inside, over * F.col(f"p{i}") * F.col(f"p{j}"))), F.lit(0.0)).alias(f"m{i}_{j}") for i, j in pairs],
+        ).first()
+        return np.array([row[f"t{i}"] for i in k]) - goal, _square(row, pairs, len(names))
+
+    def values(choices: list[np.ndarray]) -> list[float]:
+        """How good each choice of prices is (the dual of the least squares problem, which is largest at the solution)."""
+        parts = []
+        for n, prices in enumerate(choices):
+            rate, price = _rate(prices, ceiling), _price(prices)
+            parts.append(F.coalesce(F.sum(over * ((rate - 1) * (rate - 1) / 2 + price * rate)), F.lit(0.0)).alias(f"v{n}"))
+        row = now.agg(*parts).first()
+        return [row[f"v{n}"] - float(x @ goal) - ease / 2 * float(x @ every @ x) for n, x in enumerate(choices)]
+
+    free = now.agg(*[F.coalesce(F.sum(over * F.col(f"p{i}") * F.col(f"p{j}")), F.lit(0.0)).alias(f"m{i}_{j}") for i, j in pairs]).first()
+    every = _square(free, pairs, len(names))
+    scale = np.linalg.pinv(every, rcond=1e-9, hermitian=True)
+    prices, log = np.zeros(len(names)), []
+    best = values([prices])[0]
+    while True:
+        rest, inside = look(prices)
+        log.append({"share": {d: float(rest[i] + goal[i]) for i, d in enumerate(names)}, "residual": {d: float(rest[i]) for i, d in enumerate(names)}, "state": "under way"})
+        gradient = rest - ease * every @ prices
+        if gradient @ scale @ gradient <= (tolerance / 10) ** 2:
             break
-        steps.append([float(x) for x in whiten @ np.array(rest)])
-        if len(steps) == block:  # keep the expression short
-            now = common.materialize(now.withColumn("rate", _rate("rate", steps, ceiling)), "mixing-rates")
-            steps = []
-    return now.withColumn("rate", _rate("rate", steps, ceiling)), log
-
-
-def _rate(column: str, steps: list[list[float]], ceiling: float | None) -> Column:
-    """The rate after more rounds: each is the price of a token of every domain, paid by posterior."""
-    r = F.col(column)
-    for g in steps:
-        price = sum((F.col(f"p{i}") * F.lit(x) for i, x in enumerate(g)), F.lit(0.0))
-        r = F.greatest(F.lit(0.0), r - price)
-        if ceiling is not None:
-            r = F.least(F.lit(float(ceiling)), r)
-    return r
-
-
-def mix(docs: DataFrame, domains: DataFrame, targets: dict[str, float], budget: float | None = None, ceiling: float | None = None, **options) -> tuple[list[str], DataFrame, list[dict]]:
-    """Domain names, (doc_id, tokens, p0, ..., rate) of every document, and the log of the rounds."""
+        way = np.linalg.pinv(inside + ease * every, rcond=1e-9, hermitian=True) @ gradient
+        tried = values([prices + x * way for x in LENGTHS])
+        n = int(np.argmax(tried))
+        if not tried[n] > best + 1e-12:
+            break
+        best, prices = tried[n], prices + LENGTHS[n] * way
+    log[-1]["state"] = "met" if max(map(abs, log[-1]["residual"].values())) <= tolerance else "nearest"
+    return now.withColumn("rate", _rate(prices, ceiling)), log
+
+
+def _square(row, pairs: list[tuple[int, int]], n: int) -> np.ndarray:
+    out = np.zeros((n, n))
+    for i, j in pairs:
+        out[i, j] = out[j, i] = row[f"m{i}_{j}"]
+    return out
+
+
+def _price(prices: np.ndarray) -> Column:
+    return sum((F.col(f"p{i}") * F.lit(float(x)) for i, x in enumerate(prices)), F.lit(0.0))
+
+
+def _rate(prices: np.ndarray, ceiling: float | None) -> Column:
+    """The rate at these prices of a token of every domain, paid by posterior, cut to its bounds."""
+    r = F.greatest(F.lit(0.0), F.lit(1.0) - _price(prices))
+    return r if ceiling is None else F.least(F.lit(float(ceiling)), r)
+
+
+def mix(docs: DataFrame, domains: DataFrame, targets: dict[str, float], budget: float | None = None, ceiling: float | None = None, tolerance: float = TOLERANCE, **options) -> tuple[list[str], DataFrame, list[dict]]:
+    """Domain names, (doc_id, tokens, p0, ..., rate) of every document, and the reports of the rounds."""
     names, posterior = posteriors(docs, domains, **options)
-    found, log = rates(posterior, names, targets, budget, ceiling)
+    found, log = rates(posterior, names, targets, budget, ceiling, tolerance)
     return names, found, log
 
 
@@ -135,12 +171,15 @@ def sample(docs: DataFrame, rated: DataFrame) -> DataFrame:
     decided by a hash of the id, so that the expected copies equal the rate."""
     odds = (F.pmod(F.xxhash64("id_", F.lit(17)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
     copies = rated.select(F.col("doc_id").alias("id_"), "rate").select("id_", (F.floor("rate") + (odds < F.col("rate") - F.floor("rate")).cast("int")).cast("int").alias("copies_")).filter("copies_ > 0")
-    joined = docs.join(copies, docs["doc_id"].eqNullSafe(copies["id_"]))
-    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), "copies_")).alias("copy_")).drop("copy_")
+    # the rows travel in one column, so that no name of theirs can meet one of ours
+    rows = docs.select(F.col("doc_id").cast("long").alias("own_"), F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row_"))
+    joined = rows.join(copies, F.col("own_").eqNullSafe(F.col("id_")))
+    each = joined.select("row_", F.explode(F.sequence(F.lit(1), "copies_")).alias("copy_"))
+    return each.select(*[F.col("row_")[f"c{i}"].alias(c) for i, c in enumerate(docs.columns)])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """op1: tokens, domain posteriors and rate of every document, for the target mix."""
+    """op1: tokens, domain posteriors and rate of every document, for the target mix, and how the rounds ended."""
     docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
-    names, found, _ = mix(docs, domains_of(labels), TARGETS)
-    return found.select("doc_id", "tokens", *[F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(names)], "rate")
+    names, found, log = mix(docs, domains_of(labels), TARGETS)
+    return found.select("doc_id", "tokens", *[F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(names)], "rate", F.lit(log[-1]["state"]).alias("state"))

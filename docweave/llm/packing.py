@@ -10,9 +10,13 @@ Packing needs no shuffle: each task packs blocks of at most ``block_tokens`` tok
 each block's own histogram (all its documents), which bounds its memory; a sequence never spans two blocks.  At the
 block size used the combinations fill windows as they would over the whole corpus, as each holds thousands of lengths.
 
+Rows are packed in the order in which a task gets them: pack a table (files are read in one order), not the output of a
+shuffle, of which a task that runs again gets the rows in another one; :func:`pack` sees to it.
+
 Defined results: a null text is empty, and an empty text is one end token; repeated rows are packed each, as are rows
-without doc_id; texts of any length are cut into windows; an empty table gives an empty result; other columns are
-ignored.
+without doc_id; texts of any length are cut into windows; pieces of one length are taken last come, first packed;
+combinations of one repeat count in the order of their lengths; an empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -31,8 +35,11 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW, END, BLOCK_TOKENS, CACHE_WORDS = 2048, 1, 8_000_000, 400_000
-#: Texts in which white space, case folding or special tokens need the tokenizer's own reading.
-_ODD = re.compile("[\x1c-\x1f\x85Σİ]|<\\|")
+#: Characters whose lower case, composition and white space read alike here and in the tokenizer: ASCII, Latin, Greek,
+#: Cyrillic, general punctuation, currency, kana, CJK and Hangul syllables, wide forms and pictures, without combining
+#: marks, letters that were added lately, the final sigma and the dotted capital I.  All else is the tokenizer's to read.
+_PLAIN = "\x00-\x1b\x20-\x84\x86-\u012f\u0131-\u024f\u0370-\u03a2\u03a4-\u03ff\u0400-\u0482\u048a-\u052f\u1e00-\u1eff\u2000-\u200a\u2010-\u2029\u202f-\u205f\u20a0-\u20bf\u2100-\u2125\u3000-\u3029\u3041-\u3096\u30a1-\u30fa\u3400-\u4dbf\u4e00-\u9ffc\uac00-\ud7a3\uff01-\uff9d\U0001f300-\U0001f5ff"
+_ODD = re.compile(f"[^{_PLAIN}]|<\\|")
 _TAIL = re.compile(r"^(.*?)([^\w\s']*)$", re.S)
 
 
@@ -47,7 +54,8 @@ class Encoder:
     """``tokenizers`` ids of whole texts as little-endian unsigned 32-bit integers; words met often are kept.
 
     White space ends every pre-token, so a text's ids are those of its words in order.  Texts that could read
-    otherwise (``_ODD``, or not in normal form C) go through the tokenizer as a whole.
+    otherwise (``_ODD``, or not in normal form C) go through the tokenizer as a whole; in all others the words are
+    in their final form, which reading them once more does not change.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
@@ -216,7 +224,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end: int =
         if tokens:
             yield from flush()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = common.settled(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "packing-rows")
     return common.arrow_tasks(rows, run, RESULT)
 
 
