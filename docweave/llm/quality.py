@@ -36,7 +36,7 @@ _WHITE = b" \t\n\r\x0b\f"
 _CLASS = np.full(256, 2, dtype=np.uint8)
 _CLASS[common._SPACE] = 0
 _CLASS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
-CHARS_PER_BUCKET, SMOOTHING, THRESHOLD, MAX_LABELLED = 32, 5.0, -0.5, 100_000
+CHARS_PER_BUCKET, SMOOTHING, THRESHOLD, MAX_LABELLED, MIN_WORDS = 32, 5.0, -0.5, 100_000, 50
 _RANGE = 1 << 14
 
 
@@ -133,17 +133,17 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int | None = None, smoothin
     return np.log((target + np.float32(smoothing)) / (raw * np.float32(share) + np.float32(smoothing)))
 
 
-def judge(docs: DataFrame, labels: DataFrame, buckets: int | None = None, smoothing: float = SMOOTHING, threshold: float = THRESHOLD, max_labelled: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, buckets: int | None = None, smoothing: float = SMOOTHING, threshold: float = THRESHOLD, max_labelled: int = MAX_LABELLED, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ratio = docs.sparkSession.sparkContext.broadcast(fit(rows, labels, buckets, smoothing, max_labelled))
-    return common.map_arrow(rows, _judge_step(ratio, threshold), RESULT)
+    return common.map_arrow(rows, _judge_step(ratio, threshold, min_words), RESULT)
 
 
 RESULT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, score double, kept boolean"
 
 
-def _judge_step(ratio, threshold: float):
+def _judge_step(ratio, threshold: float, min_words: int):
     names = [f.split()[0] for f in RESULT.split(", ")]
 
     def make():
@@ -157,7 +157,7 @@ def _judge_step(ratio, threshold: float):
                 for i, g in enumerate(_grams(texts, len(table) - 1)):
                     facts = base_facts(texts[i], words.hash[words.first[i] : words.first[i + 1]])
                     score = float(table[g].mean(dtype=np.float64)) if len(g) else 0.0
-                    failed = facts[0] < 50 or 100 * facts[4] > 50 * facts[0]
+                    failed = facts[0] < min_words or 100 * facts[4] > 50 * facts[0]
                     out.append((ids[at + i], *facts, failed, score, not failed and score >= threshold))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64()] * 6 + [pa.bool_(), pa.float64(), pa.bool_()], strict=True)], names)
 
@@ -169,8 +169,8 @@ def _judge_step(ratio, threshold: float):
 def filter_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns; one pass over the text after the counts."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    threshold = options.pop("threshold", THRESHOLD)
-    make = _judge_step(docs.sparkSession.sparkContext.broadcast(fit(rows, labels, **options)), threshold)
+    threshold, min_words = options.pop("threshold", THRESHOLD), options.pop("min_words", MIN_WORDS)
+    make = _judge_step(docs.sparkSession.sparkContext.broadcast(fit(rows, labels, **options)), threshold, min_words)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,21 +5,25 @@ alone, two Gamma(2,1) variables and a uniform one; the word that minimises the s
 quantised weight.  Two texts keep the same pair with a probability equal to their generalised Jaccard similarity
 (sum of minima over sum of maxima), so the share of equal entries estimates it.  An entry is stored as 16 bits.
 
-Whole texts are used.  A worker keeps the variables of words it has met in a table of fixed size.
+Whole texts are used.  A worker keeps the variables of words it has met in a table of fixed size; a word that stands
+once in a text, as most do, needs only what its variables come to at weight 1, which the table holds ready.
 
 Defined results: null, empty and wordless texts have the empty fingerprint, alike (1) to each other and unlike (0)
-all others; equal texts have equal fingerprints; rows are ordered by doc_id and then text, a null doc_id first; the
-only row of a table is its own next one; an empty table gives an empty result; other columns are ignored.
+all others; equal texts have equal fingerprints; rows are ordered by doc_id and then by a hash of the text, a null
+doc_id first; of words with one sampled value the one with the smallest hash is taken; the only row of a table is its
+own next one; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -33,27 +37,29 @@ class Sampler:
     def __init__(self, samples: int = 64, seed: int = 7, slots: int = 40_000):
         self.samples, self.slots = samples, slots
         self.salts = common.mix64((np.arange(5 * samples, dtype=_U) + _U(1)) * _U(0x9E3779B97F4A7C15) + _U(seed)).reshape(5, samples)
-        self.table = np.empty((slots, 3, samples), dtype=np.float32)
+        self.table = np.empty((slots, samples), dtype=np.float32)
         self.at: dict[int, int] = {}
 
-    def _draw(self, terms: np.ndarray) -> np.ndarray:
-        """(terms, [r, ln c, beta], samples)"""
+    def _draw(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """r, ln c and beta: (terms, samples) each."""
         x = common.mix64(terms[:, None, None] ^ self.salts[None])
         u = ((x >> _U(40)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-24)
         r = -np.log(u[:, 0] * u[:, 1])
         c = -np.log(u[:, 2] * u[:, 3])
-        return np.stack((np.maximum(r, np.float32(1e-6)), np.log(np.maximum(c, np.float32(1e-6))), u[:, 4]), axis=1)
+        return np.maximum(r, np.float32(1e-6)), np.log(np.maximum(c, np.float32(1e-6))), u[:, 4]
 
-    def _variables(self, terms: np.ndarray) -> np.ndarray:
+    def _once(self, terms: np.ndarray) -> np.ndarray:
+        """The sampled values of words of weight 1, whose quantised weight is 0."""
         if len(terms) > self.slots // 2:
-            return np.concatenate([self._draw(t) for t in np.array_split(terms, len(terms) // 2000 + 1)])
+            return np.concatenate([self._once(t) for t in np.array_split(terms, len(terms) // 2000 + 1)])
         keys = terms.tolist()
         if new := [k for k in keys if k not in self.at]:
             if len(self.at) + len(new) > self.slots:
                 self.at.clear()
                 new = keys
             places = range(len(self.at), len(self.at) + len(new))
-            self.table[places.start : places.stop] = self._draw(np.array(new, dtype=_U))
+            r, c, beta = self._draw(np.array(new, dtype=_U))
+            self.table[places.start : places.stop] = c + r * beta - r
             self.at.update(zip(new, places, strict=True))
         return self.table[[self.at[k] for k in keys]]
 
@@ -63,19 +69,24 @@ class Sampler:
         if not len(words):
             return np.empty(0, dtype=np.uint16)
         terms, counts = np.unique(words, return_counts=True)
-        best = None
-        for s in range(0, len(terms), 4096):  # bounded memory for very long texts
-            v = self._variables(terms[s : s + 4096])
-            r, c, beta = v[:, 0], v[:, 1], v[:, 2]
-            t = np.floor(np.log(counts[s : s + 4096, None]).astype(np.float32) / r + beta)
-            a = c - r * (t - beta) - r
+        best = np.full(self.samples, np.inf, dtype=np.float32)
+        term, at = np.zeros(self.samples, dtype=_U), np.zeros(self.samples, dtype=np.float32)
+        one, more = terms[counts == 1], np.flatnonzero(counts > 1)
+
+        def take(own: np.ndarray, a: np.ndarray, level: np.ndarray | None) -> None:
             k = np.argmin(a, axis=0)
-            low, level = np.take_along_axis(a, k[None], 0)[0], np.take_along_axis(t, k[None], 0)[0]
-            if best is None:
-                best, term, at = low, terms[k + s], level
-            else:
-                better = low < best
-                best, term, at = np.where(better, low, best), np.where(better, terms[k + s], term), np.where(better, level, at)
+            low = np.take_along_axis(a, k[None], 0)[0]
+            better = (low < best) | ((low == best) & (own[k] < term))
+            best[better], term[better] = low[better], own[k][better]
+            at[better] = 0 if level is None else np.take_along_axis(level, k[None], 0)[0][better]
+
+        for s in range(0, len(one), 4096):  # bounded memory for very long texts
+            take(one[s : s + 4096], self._once(one[s : s + 4096]), None)
+        for s in range(0, len(more), 1024):
+            own = terms[more[s : s + 1024]]
+            r, c, beta = self._draw(own)
+            t = np.floor(np.log(counts[more[s : s + 1024], None]).astype(np.float32) / r + beta)
+            take(own, c - r * (t - beta) - r, t)
         return (common.mix64(term ^ (at.astype(np.int64).astype(_U) * _U(0xC2B2AE3D27D4EB4F))) & _U(0xFFFF)).astype(np.uint16)
 
 
@@ -104,32 +115,64 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return common.map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), make, "doc_id long, fingerprint string")
 
 
-def _range_of(key: Column, bounds: list[int], first: int = 0) -> Column:
-    """Index of the range that ``key`` falls in, as a balanced tree of comparisons."""
-    if not bounds:
-        return F.lit(first)
-    m = len(bounds) // 2
-    return F.when(key < bounds[m], _range_of(key, bounds[:m], first)).otherwise(_range_of(key, bounds[m + 1 :], first + m + 1))
+def _cuts(rows: DataFrame, parts: int) -> list[tuple[int, int]]:
+    """Lower bounds (k, h) of at most ``parts`` ranges of about equally many rows; a key with more rows than a range
+    is cut by the hash h of the text."""
+    found = rows.agg(F.percentile_approx("k", [i / parts for i in range(1, parts)], 100 * parts).alias("q")).first()["q"] if parts > 1 else None
+    out = []
+    for k in sorted(set(found or [])):
+        n = found.count(k)
+        out += [(k, -(1 << 63) + i * ((1 << 64) // n)) for i in range(n)]
+    return out
+
+
+def _dealer(spark, parts: int) -> list[int]:
+    """For each of ``parts`` shuffle partitions a number that Spark's hash deals to it."""
+    numbers = spark.range(0, 40 * parts, 1, 1).select(F.col("id").cast("int").alias("i"))
+    found = numbers.groupBy(F.pmod(F.hash("i"), F.lit(parts)).alias("p")).agg(F.min("i").alias("i")).collect()
+    own = {r["p"]: r["i"] for r in found}
+    return [own.get(p, 40 * parts + p) for p in range(parts)]
 
 
 def with_next(docs: DataFrame, pair, schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Applies ``pair()``'s function (id, text, next text) -> row values to each row and the next one by (id, text);
-    after the last comes the first.  One shuffle by ranges of ids; the first rows of a range are also sent to the
-    range before it, so no row is read alone and no task sees more than its range."""
+    """Applies ``pair()``'s function (id, text, next text) -> row values to each row and the next one by (id, hash of
+    the text); after the last comes the first.  One shuffle by ranges of these keys, one range to a task; the first row
+    of a range is also sent to the range before it, so no row is read alone and no task sees more than its range.
+    The bounds of the ranges are data of the tasks, not part of the plan."""
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("k"), F.col(text_col).alias("text"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("k"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.col(text_col).alias("text"))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = rows.agg(F.percentile_approx("k", [i / (4 * parts) for i in range(1, 4 * parts)], 100 * parts).alias("q")).first()["q"]
-    bounds = sorted(set(cuts or []))
-    part = _range_of(F.col("k"), bounds)
-    heads = {r["p"]: r["k"] for r in rows.select(part.alias("p"), "k").groupBy("p").agg(F.min("k").alias("k")).collect()}
+    cuts = _cuts(rows, parts)
+    numbers = _dealer(spark, parts)
+    common.ship_package(spark)
+
+    def ranges(k: pd.Series, h: pd.Series) -> np.ndarray:
+        """The number of the last cut at or below each key."""
+        own = np.array([c[0] for c in cuts], dtype=np.int64)
+        low, high = np.searchsorted(own, k.to_numpy(), "left"), np.searchsorted(own, k.to_numpy(), "right")
+        for i in np.flatnonzero(low < high):
+            high[i] = bisect.bisect_right(cuts, (int(k.iloc[i]), int(h.iloc[i])))
+        return high
+
+    @F.pandas_udf("int")
+    def range_of(k: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series(ranges(k, h))
+
+    keyed = rows.select("k", "h", range_of("k", "h").alias("p"))
+    heads = {r["p"]: (r["m"]["k"], r["m"]["h"]) for r in keyed.groupBy("p").agg(F.min(F.struct("k", "h")).alias("m")).collect()}
     order = sorted(heads)
-    before = {p: order[i - 1] for i, p in enumerate(order)}
-    previous = F.array(*[F.lit(before.get(p, 0)) for p in range(len(bounds) + 1)])
-    own = F.struct(part.alias("p"), F.lit(False).alias("after"))
-    also = F.struct(F.element_at(previous, part + 1).alias("p"), F.lit(True).alias("after"))
-    dealt = rows.select("k", "text", F.explode(F.when(F.col("k").isin(list(heads.values())), F.array(own, also)).otherwise(F.array(own))).alias("o"))
-    dealt = dealt.select("o.p", "o.after", "k", "text").repartition(parts, "p").sortWithinPartitions("p", "after", "k", "text")
+    before = {heads[p]: order[i - 1] for i, p in enumerate(order)}
+
+    @F.pandas_udf("array<int>")
+    def places(k: pd.Series, h: pd.Series) -> pd.Series:
+        """The range of a row, and the one before it if the row is the first of its range; as numbers to deal by."""
+        out = []
+        for p, key in zip(ranges(k, h).tolist(), zip(k.tolist(), h.tolist(), strict=True), strict=True):
+            out.append([numbers[p], numbers[before[key]]] if key in before else [numbers[p]])
+        return pd.Series(out)
+
+    dealt = rows.select("k", "h", "text", F.posexplode(places("k", "h")).alias("after", "p"))
+    dealt = dealt.repartition(parts, "p").sortWithinPartitions("p", "after", "k", "h").select("p", "after", "k", "text")
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,9 +186,6 @@ def with_next(docs: DataFrame, pair, schema: str, id_col: str = "doc_id", text_c
                 if last is not None and last[0] == p:
                     out.append(work(last[1], last[2], text))
                 last = None if nxt else (p, ks[i].as_py(), text)
-                if len(out) >= 2000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names)
-                    out = []
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names)
 

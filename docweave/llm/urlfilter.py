@@ -2,7 +2,8 @@
 
 Entries are a host and a path prefix, written ``host/`` or ``host/prefix``; an entry fits its host and all subdomains
 of it when the url's path starts with the prefix, and the longest entry that fits decides.  A url therefore turns
-into candidate keys (each suffix of its host at a dot, times the distinct path lengths of the entries).  All
+into candidate keys (each suffix of its host at a dot that is no longer than the longest host of an entry, times the
+distinct path lengths of the entries), whose number is bounded by the list, however long the url.  All
 candidates of a batch are hashed, found in the mapped array by one vectorised binary search, and a hit counts only
 if the stored full string equals the candidate.
 
@@ -12,14 +13,17 @@ The list is a parameter of at most ``MAX_ENTRIES`` entries (checked), shipped on
 
 Defined results: a null url or one without ``://`` has empty host and path, fits no entry and is allowed; an url
 without a path has the empty path, which no entry fits; a doubled entry must not have two verdicts (an error);
-repeated rows are judged each; a batch without rows gives none; other columns pass through untouched or are ignored.
+repeated rows are judged each; urls of any length are judged whole; of entries of one length the longer host decides;
+an empty table gives an empty result; other columns pass through untouched or are ignored.
 """
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
-import uuid
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -39,12 +43,23 @@ SPAM_NAMES = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets",
 SPAM_LIST = {f"{name}.example.{top}/": "block" for name in SPAM_NAMES for top in ("com", "net", "org")}
 
 
+def read_list(lines: Iterable[str]) -> dict[str, str]:
+    """Blocking entries of a public block list: one host or ``host/prefix`` a line, or ``0.0.0.0 host`` as in a hosts
+    file; what follows a ``#`` and empty lines are left out."""
+    out = {}
+    for line in lines:
+        if words := line.partition("#")[0].split():
+            host, _, prefix = words[-1].partition("/")
+            out[f"{host.lower()}/{prefix}"] = "block"
+    return out
+
+
 def key(entry: str) -> int:
     return xxhash.xxh64_intdigest(entry.encode())
 
 
 class Digests:
-    """The file format: <n> sorted uint64 keys, n+1 uint64 offsets, n verdict bytes, then the strings."""
+    """The file format: a head with the distinct path lengths and the length of the longest host, <n> sorted uint64 keys, n+1 uint64 offsets, n verdict bytes, then the strings."""
 
     MAGIC = 0x5552_4C31
 
@@ -58,7 +73,7 @@ class Digests:
         blobs = [e.encode() for e in order]
         lengths = sorted({len(e.partition("/")[2]) + 1 for e in entries})
         with open(path, "wb") as f:
-            np.array([Digests.MAGIC, len(order), len(lengths), *lengths], dtype="<u8").tofile(f)
+            np.array([Digests.MAGIC, len(order), len(lengths), max((e.index("/") for e in entries), default=0), *lengths], dtype="<u8").tofile(f)
             np.array([key(e) for e in order], dtype="<u8").tofile(f)
             np.cumsum([0, *map(len, blobs)]).astype("<u8").tofile(f)
             np.array([entries[e] == "block" for e in order], dtype="u1").tofile(f)
@@ -66,12 +81,12 @@ class Digests:
 
     def __init__(self, path: str):
         raw = np.memmap(path, dtype="u1", mode="r")
-        head = raw[:24].view("<u8")
+        head = raw[:32].view("<u8")
         if head[0] != self.MAGIC:
             raise ValueError("not a digest file")
-        n, k = int(head[1]), int(head[2])
-        self.lengths = [int(x) for x in raw[24 : 24 + 8 * k].view("<u8")]
-        at = 24 + 8 * k
+        n, k, self.longest_host = (int(x) for x in head[1:])
+        self.lengths = [int(x) for x in raw[32 : 32 + 8 * k].view("<u8")]
+        at = 32 + 8 * k
         self.keys = raw[at : at + 8 * n].view("<u8")
         self.offsets = raw[at + 8 * n : at + 16 * n + 8].view("<u8")
         self.block = raw[at + 16 * n + 8 : at + 17 * n + 8]
@@ -88,6 +103,8 @@ class Digests:
             if not p:
                 continue
             cut = [p[:k] for k in self.lengths if k <= len(p)]
+            if len(h) > self.longest_host:  # from the first dot within reach
+                h = h[-self.longest_host - 1 :].partition(".")[2]
             while h:
                 owner += [i] * len(cut)
                 texts += [(h + c).encode("utf-8", "surrogatepass") for c in cut]
@@ -109,13 +126,20 @@ class Digests:
         return best
 
 
+_shipped: dict[tuple[str, int], str] = {}
+
+
 def ship(spark, entries: dict[str, str]) -> str:
-    """Send the digest file to all present and later executors; returns the name to open it by."""
-    name = f"urls-{uuid.uuid4().hex}.bin"
-    path = os.path.join(tempfile.mkdtemp(prefix="docweave-urls-"), name)  # the driver serves it as long as it lives
-    Digests.write(entries, path)
-    spark.sparkContext.addFile(path)
-    return name
+    """Send the digest file to all present and later executors, once for each list; returns the name to open it by."""
+    own = spark.sparkContext.applicationId, xxhash.xxh64_intdigest(repr(sorted(entries.items())))
+    if own not in _shipped:
+        folder = tempfile.mkdtemp(prefix="docweave-urls-")  # the driver serves it as long as it lives
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        path = os.path.join(folder, f"urls-{own[1]:016x}.bin")
+        Digests.write(entries, path)
+        spark.sparkContext.addFile(path)
+        _shipped[own] = os.path.basename(path)
+    return _shipped[own]
 
 
 def host_path(url):
@@ -162,9 +186,12 @@ def judge_large(pages: DataFrame, entries: DataFrame, id_col: str = "page_id", u
     if lengths is None:
         cut = F.expr("length(entry) - instr(entry, '/') + 1")
         lengths = sorted(r[0] for r in entries.select(cut).distinct().collect())
+    reach = entries.agg(F.max(F.instr("entry", "/") - 1)).first()[0] or 0
     host, path = host_path(F.col(url_col))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), path.alias("path")).filter("path <> '' and host <> ''")
-    labels = F.split("host", "\\.")
+    end = F.substring(F.col("host"), F.length("host") - reach, F.lit(reach + 1))  # from the first dot within reach
+    near = F.when(F.length("host") <= reach, F.col("host")).otherwise(F.regexp_extract(end, r"(?s)^[^.]*\.(.*)$", 1))
+    labels = F.split(near, "\\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."))
     tails = F.filter(F.array(*[F.when(F.length("path") >= k, F.substring("path", 1, k)) for k in lengths]), lambda x: x.isNotNull())
     probes = rows.select("page_id", F.explode(suffixes).alias("h"), tails.alias("t"))

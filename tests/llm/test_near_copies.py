@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from docweave.llm import nearcopies
 
 
 def test_stage_removes_edited_copies(spark):
@@ -33,3 +34,31 @@ def test_links_beyond_the_smallest_member(spark):
             text[rng.randrange(300)] = f"w{rng.randrange(10**9)}"
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert [r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()] == [0]
+
+
+def test_links_of_a_large_group_of_edited_copies_by_brute_force(spark):
+    """Copies of one text at all distances: components as all pairs make them, and far fewer pairs than there are."""
+    rng = random.Random(7)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    base = [word() for _ in range(150)]
+    rows = []
+    for k in range(150):
+        text = list(base)
+        for at in rng.sample(range(150), rng.randrange(0, 14)):
+            text[at] = word()
+        rows.append((k, " ".join(text)))
+    grams = {k: {tuple(t.split()[i : i + 5]) for i in range(146)} for k, t in rows}
+    root = {k: k for k in grams}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in grams:
+        for b in range(a):
+            if len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    got = {r.doc_id: r.component_id for r in nearcopies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: find(k) for k in grams} and 1 < len(set(got.values())) < 100
