@@ -129,10 +129,10 @@ class _Reader:
 
 
 def calculate(text: str) -> Any:
-    """The value; a result that is not finite is null for lack of a JSON number."""
+    """The value; a result that is not finite is its name as text, for lack of a JSON number."""
     if not text.strip():
         raise Failure("nothing to calculate")
     v = _Reader(text).whole()
     if isinstance(v, float) and not math.isfinite(v):
-        return None
+        return "NaN" if math.isnan(v) else "Infinity" if v > 0 else "-Infinity"
     return tidy(float(v)) if isinstance(v, int | float) and not isinstance(v, bool) else v

@@ -38,6 +38,7 @@ class Collection:
         self.df = df
         self.dialect = dialect
         self.order = [order] if isinstance(order, str) else list(order or [])
+        self.sorted: list[tuple[Column, bool]] | None = None  # since a sortby: keys, and whether each goes down
         self.tables = dict(tables or {})
         self.outputs: dict[str, DataFrame] = {}
         self.extra: set[str] = set()  # columns of aggregates that a command has joined to the rows
@@ -340,11 +341,14 @@ class Collection:
         keys = s["resolveKeys"]
         left, right, conditions = self.df, refs, []
         mine, theirs = self.scope(rows=False), Scope(refs.schema, rows=False)
-        lk, rk = [], []
+        lk, rk, rk_whole, rk_many, bound = [], [], [], [], []
         overlap = False
         for i, k in enumerate(keys):
             a, b = (bind_path(jp.Path("@", jp.parse(p if p[:1] in "@$" else "@." + p).segments), sc) for p, sc in ((k["keyPath"], mine), (k["referenceKeyPath"], theirs)))
             overlap |= a.many or b.many
+            bound.append(a)
+            rk_whole.append((F.array_distinct(b.col) if b.many else b.col).alias(f"r{i}_"))
+            rk_many.append(b.many)
             lk.append((F.explode(F.array_distinct(a.col)) if a.many else a.col).alias(f"l{i}_"))
             rk.append((F.explode(F.array_distinct(b.col)) if b.many else b.col).alias(f"r{i}_"))
             conditions.append(F.col(f"l{i}_") == F.col(f"r{i}_"))
@@ -363,10 +367,20 @@ class Collection:
         # only an array needs all matches; else the first and their number are enough, however many share a key
         gathered = F.array_sort(F.collect_list("p_")) if "alwaysasarray" in behaviours else F.array_repeat(F.min("p_"), F.least(F.count("p_"), F.lit(2)).cast("int"))
         if overlap:
-            ids = [F.col(f"`{n}`") for n in left.columns]
-            exploded = left.withColumn("row_", F.struct(*ids)).select("row_", *lk)
-            hits = exploded.join(packed, on).select("row_", "p_").distinct().groupBy("row_").agg(gathered.alias("hits_"))
-            joined = left.withColumn("row_", F.struct(*ids)).join(hits, "row_", "left").drop("row_")
+            # a row's keys stand for it: rows with equal keys have equal matches, and only the keys travel
+            sides = [F.array_sort(F.array_distinct(a.col)) if a.many else a.col for a in bound]
+            row = F.struct(*[F.xxhash64(F.lit(n), *[x.cast("array<string>") if a.many else x for x, a in zip(sides, bound, strict=True)]) for n in (1, 2)])
+            keyed = left.withColumn("row_", row)
+            exploded = keyed.groupBy("row_").agg(*[F.first(x).alias(f"s{i}_") for i, x in enumerate(sides)])
+            for i, a in enumerate(bound):
+                exploded = exploded.withColumn(f"l{i}_", F.explode(f"s{i}_") if a.many else F.col(f"s{i}_"))
+            # a reference that meets a row by several keys is one match: it is known by a number of its own
+            numbered = right.withColumn("ref_", F.monotonically_increasing_id())
+            parts = numbered.select("ref_", F.struct(*([order.alias("o_")] if order is not None else []), *picked).alias("p_"), *rk_whole)
+            for i, many in enumerate(rk_many):
+                parts = parts.withColumn(f"r{i}_", F.explode(f"r{i}_")) if many else parts
+            hits = exploded.join(parts, on).groupBy("row_", "ref_").agg(F.first("p_").alias("p_")).groupBy("row_").agg(gathered.alias("hits_"))
+            joined = keyed.join(hits, "row_", "left").drop("row_")
         else:
             grouped = packed.groupBy(*[f"r{i}_" for i in range(len(keys))]).agg(gathered.alias("hits_"))
             joined = left.select("*", *lk).join(grouped, on, "left").drop(*[f"l{i}_" for i in range(len(keys))], *[f"r{i}_" for i in range(len(keys))])
@@ -468,9 +482,11 @@ class Collection:
             self.df = self._slice(texts[0]).dropDuplicates()
         elif node.name in ("sortby", "sort"):
             down = len(texts) > 2 and str(texts[2]).lower() == "desc"
-            self.df = self._slice(texts[0]).orderBy(*self.sort_keys(str(texts[1]), down))
+            self.df = self._slice(texts[0])
+            self.sorted = self.sort_keys(str(texts[1]), down)
+            self.df = self.df.orderBy(*self.ordering())
         elif node.name == "last":
-            self.df = self.df.orderBy(*[o.desc() for o in self.need_order()]).limit(1)
+            self.df = self.df.orderBy(*self.ordering(back=True)).limit(1)
         elif node.name == "partial":
             i = int(texts[1]) if len(texts) > 1 and isinstance(texts[1], int | float) else 0
             self.df = self._slice(f"$[{i}:{i + 1}]")
@@ -484,12 +500,17 @@ class Collection:
         else:
             raise Unsupported(f"{node.name} of the table")
 
-    def sort_keys(self, key: str, down: bool) -> list[Column]:
+    def ordering(self, back: bool = False) -> list[Column]:
+        """The order of the table: that of the last sortby, else of the order key; from the end with ``back``."""
+        keys = [(o, False) for o in self.need_order()] if self.sorted is None else self.sorted
+        return [k.desc() if down != back else k.asc() for k, down in keys]
+
+    def sort_keys(self, key: str, down: bool) -> list[tuple[Column, bool]]:
         """Missing keys last in both directions; the order key keeps equal ones stable."""
         name = key.removeprefix("@.")
         v = bind_path(jp.parse("@." + name), self.scope(rows=False))
         k = v.col if v.kind in ("number", "date") else native.text(v).col
-        return [v.col.isNull().asc(), k.desc() if down else k.asc(), *[F.col(o).asc() for o in self.order]]
+        return [(v.col.isNull(), False), (k, down), *[(F.col(o), False) for o in self.order]]
 
     def _slice(self, path: str) -> DataFrame:
         p = jp.parse(path)
@@ -502,24 +523,38 @@ class Collection:
             s = jp.Slice(s.index, s.index + 1 or None, None)
         if not isinstance(s, jp.Slice):
             raise Unsupported(path)
-        start, stop, step = s.start or 0, s.stop, s.step or 1
-        order = self.need_order()
+        step = 1 if s.step is None else s.step
+        if step == 0:
+            return self.df.limit(0)
+        order = self.ordering()
+        if step < 0 or (s.stop is not None and s.stop < 0) or ((s.start or 0) < 0 and (s.stop is not None or step != 1)):
+            return self._counted(s, order, step)
+        start, stop = s.start or 0, s.stop
         if start >= 0 and stop is not None and stop >= 0 and step == 1:
             return self.df.orderBy(*order).offset(start).limit(max(0, stop - start)) if start else self.df.orderBy(*order).limit(stop)
         if start < 0 and stop is None and step == 1:
-            return self.df.orderBy(*[o.desc() for o in order]).limit(-start)
+            return self.df.orderBy(*self.ordering(back=True)).limit(-start)
         ranked = ranks(self.df, order, "i_")
         keep = F.lit(True)
         if start > 0:
             keep = keep & (F.col("i_") >= start)
         if stop is not None:
-            if stop < 0:
-                raise Unsupported("a stop from the end")
             keep = keep & (F.col("i_") < stop)
-        if step < 1 or start < 0:
-            raise Unsupported("a backward slice of a table")
         return ranked.filter(keep & ((F.col("i_") - start) % step == 0)).drop("i_")
 
+    def _counted(self, s: jp.Slice, order: list[Column], step: int) -> DataFrame:
+        """A slice that counts from the end, or goes back: bounds as in a list, from the number of rows."""
+        ranked = ranks(self.df, order, "i_")
+        n = ranked.count()
+        place = lambda x: x + n if x < 0 else x
+        if step > 0:
+            low, high = min(max(place(s.start or 0), 0), n), n if s.stop is None else min(max(place(s.stop), 0), n)
+            return ranked.filter((F.col("i_") >= low) & (F.col("i_") < high) & ((F.col("i_") - low) % step == 0)).drop("i_")
+        high = n - 1 if s.start is None else min(max(place(s.start), -1), n - 1)
+        low = -1 if s.stop is None else min(max(place(s.stop), -1), n - 1)
+        back = ranked.filter((F.col("i_") <= high) & (F.col("i_") > low) & ((F.lit(high) - F.col("i_")) % -step == 0))
+        return back.orderBy(F.col("i_").desc()).drop("i_")
+
     def _flatten(self, c: dict) -> None:
         s = c.get("flattenSettings") or {}
         self.df = flatten_structs(self.df, s.get("delimiter", "."))

@@ -18,6 +18,8 @@ from datetime import datetime
 from functools import lru_cache
 from typing import Any
 
+from ..functions import patterns
+
 MAX_QUERY, MAX_DEPTH = 4096, 512
 DIALECTS = ("classic", "rfc9535", "extended")
 
@@ -474,8 +476,8 @@ def _regex_test(value: Any, pattern: Any, full: bool) -> bool:
     if not isinstance(value, str) or not isinstance(pattern, str):
         return False
     try:
-        return bool((re.fullmatch if full else re.search)(iregexp(pattern), value))
-    except re.error:
+        return bool(patterns.apply("fullmatch" if full else "search", iregexp(pattern), value))
+    except (re.error, patterns.PatternError):
         return False
 
 
@@ -584,7 +586,10 @@ def test(x: Any, m: Match, root: Match, dialect: str) -> bool:
         if not isinstance(v, str):
             return False
         pattern, flags = (r.pattern, r.flags) if isinstance(r, Regex) else (str(_value(r, m, root, dialect)), "")
-        return bool(re.search(pattern, v, sum((getattr(re, f.upper()) for f in flags if f in "imsx"), re.RegexFlag(0))))
+        try:
+            return bool(patterns.apply("search", pattern, v, flags=flags))
+        except patterns.PatternError as e:
+            raise PathError(str(e)) from None
     left, right = x.left, x.right
     if dialect != "rfc9535":  # any pair of matched values may satisfy the comparison
         lefts = [n.value for n in select(left.path, root, m, dialect)] if isinstance(left, Query) else [_value(left, m, root, dialect)]

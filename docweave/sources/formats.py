@@ -6,6 +6,7 @@ marked keys.  XML arrays are a wrapper with ``item`` children (or repeated sibli
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import xml.etree.ElementTree as ET
@@ -21,6 +22,10 @@ except ImportError:  # an optional dependency: only YAML documents need it
 XSI = "http://www.w3.org/2001/XMLSchema-instance"
 
 
+#: Settings with a choice of values.
+_CHOICES = {"array_handling": ("Wrapped", "Repeated"), "null_representation": ("Empty", "XsiNil"), "name_sanitization": ("Sanitize", "Error", "Escape")}
+
+
 class FormatError(ValueError):
     """Text that is not of its format, an unknown format, or a tree that a format cannot hold."""
 
@@ -42,10 +47,23 @@ class Settings:
 
     @classmethod
     def read(cls, raw: dict | Settings | None) -> Settings:
+        """Settings as scripts of any notation spell them: flags may be text, choices are in any case.  What is no
+        setting, or no value of one, leaves the default."""
         if isinstance(raw, Settings):
             return raw
-        known = {f.name.replace("_", ""): f.name for f in fields(cls)}
-        return cls(**{known[k.lower().replace("_", "")]: v for k, v in (raw or {}).items() if k.lower().replace("_", "") in known})
+        given = {k.lower().replace("_", ""): v for k, v in (raw or {}).items()}
+        out: dict[str, Any] = {}
+        for f in fields(cls):
+            v = given.get(f.name.replace("_", ""))
+            if isinstance(f.default, bool):
+                v = {"true": True, "false": False}.get(str(v).strip().lower())
+            elif f.name in _CHOICES:
+                v = {c.lower(): c for c in _CHOICES[f.name]}.get(str(v).strip().lower())
+            elif not isinstance(v, str):
+                v = None
+            if v is not None:
+                out[f.name] = v
+        return cls(**out)
 
 
 def detect(text: str) -> str:
@@ -95,8 +113,9 @@ def _need_yaml() -> None:
         raise FormatError("YAML needs the yaml package")
 
 
+@functools.cache
 def _plain_loader():
-    class Loader(yaml.SafeLoader):
+    class Loader(getattr(yaml, "CSafeLoader", yaml.SafeLoader)):
         """YAML 1.2 core scalars: no yes/no booleans, no dates."""
 
     Loader.yaml_implicit_resolvers = {}
@@ -111,6 +130,17 @@ def _plain_loader():
     return Loader
 
 
+@functools.cache
+def _plain_dumper():
+    class Dumper(getattr(yaml, "CSafeDumper", yaml.SafeDumper)):
+        """No anchors: a part that stands in two places is written twice."""
+
+        def ignore_aliases(self, data: Any) -> bool:
+            return True
+
+    return Dumper
+
+
 def parse_yaml(text: str) -> Any:
     _need_yaml()
     try:
@@ -129,7 +159,7 @@ def _string_keys(v: Any) -> Any:
 
 def write_yaml(v: Any) -> str:
     _need_yaml()
-    return yaml.safe_dump(v, sort_keys=False, allow_unicode=True, default_flow_style=False)
+    return yaml.dump(v, Dumper=_plain_dumper(), sort_keys=False, allow_unicode=True, default_flow_style=False)
 
 
 # ---- XML ------------------------------------------------------------------------------------------------------------
