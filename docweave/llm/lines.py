@@ -158,13 +158,15 @@ def templates(docs: DataFrame, min_texts: int = MIN_TEXTS, depth: int = DEPTH, a
     parsed = common.materialize(_parsed(keyed, depth), "lines-parsed")
     often = parsed.groupBy("leaf", "template").agg(F.first("n").alias("n"), F.count_distinct("c1").alias("most"))
     often = common.materialize(often, "lines-counted")
-    maybe = often.filter(F.col("most") >= _needed(min_texts)).select("template")  # a template has one leaf
-    exact = common.materialize(_recurring(parsed.join(maybe, "template").select("template", "n", "c1", "c2"), "template", min_texts), "lines-exact")
-
-    rare = often.filter(F.col("n") >= depth + 2).join(exact, "template", "left_anti")
-    leaves = rare.groupBy("leaf").agg(F.sum("most").alias("most"), F.first("n").alias("n")).filter(F.col("most") >= _needed(min_texts)).select("leaf")
-    reach = parsed.join(rare.join(leaves, "leaf").select("template"), "template")
-    reach = common.materialize(reach, "lines-reach")
+    # most lines stand alone: only templates that could recur, and those of leaves in which a pattern could, go on
+    long = often.filter(F.col("n") >= depth + 2)
+    leaves = long.groupBy("leaf").agg(F.sum("most").alias("all"), F.first("n").alias("n")).filter(F.col("all") >= _needed(min_texts)).select("leaf", F.lit(True).alias("mixed"))
+    maybe = F.col("most") >= _needed(min_texts)
+    open_ = often.join(leaves, "leaf", "left").select("template", maybe.alias("maybe"), (F.coalesce("mixed", F.lit(False)) & (F.col("n") >= depth + 2)).alias("mixed")).filter("maybe or mixed")
+    near = common.materialize(parsed.join(open_, "template"), "lines-near")  # a template has one leaf
+    common.discard(parsed)
+    exact = common.materialize(_recurring(near.filter("maybe").select("template", "n", "c1", "c2"), "template", min_texts), "lines-exact")
+    reach = common.materialize(near.filter("mixed").join(exact, "template", "left_anti"), "lines-reach")
     owner = reach.groupBy("template").agg(F.min(F.struct("k1", "k2")).alias("own")).select("own.*", "template")
     wanted = common.materialize(owner.groupBy("k1", "k2").agg(F.collect_list("template").alias("templates")), "lines-owners")
     # one row for a text: by other hashes than the join's, so that a hot text's rows can be split in the join and each
@@ -179,8 +181,8 @@ def templates(docs: DataFrame, min_texts: int = MIN_TEXTS, depth: int = DEPTH, a
     pattern = common.materialize(pattern, "lines-patterns")
     shared = _recurring(reach.join(pattern, "template").select("pattern", "n", "c1", "c2"), "pattern", min_texts)
     gone = exact.unionByName(pattern.join(shared, "pattern").select("template"))
-    drop = common.materialize(parsed.join(gone, "template").groupBy("k1", "k2").agg(F.collect_set("template").alias("drop")), "lines-drop")
-    for done in (parsed, often, exact, reach, wanted, tokens, pattern):
+    drop = common.materialize(near.join(gone, "template").groupBy("k1", "k2").agg(F.collect_set("template").alias("drop")), "lines-drop")
+    for done in (near, often, exact, reach, wanted, tokens, pattern):
         common.discard(done)
     return drop
 

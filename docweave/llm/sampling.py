@@ -37,31 +37,31 @@ class Sampler:
     def __init__(self, samples: int = 64, seed: int = 7, slots: int = 40_000):
         self.samples, self.slots = samples, slots
         self.salts = common.mix64((np.arange(5 * samples, dtype=_U) + _U(1)) * _U(0x9E3779B97F4A7C15) + _U(seed)).reshape(5, samples)
-        self.table = np.empty((slots, samples), dtype=np.float32)
+        self.table = np.empty((slots, 3, samples), dtype=np.float32)  # r, ln c and beta
+        self.ready = np.empty((slots, samples), dtype=np.float32)  # what they come to at weight 1
         self.at: dict[int, int] = {}
 
-    def _draw(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """r, ln c and beta: (terms, samples) each."""
+    def _draw(self, terms: np.ndarray) -> np.ndarray:
+        """(terms, [r, ln c, beta], samples)"""
         x = common.mix64(terms[:, None, None] ^ self.salts[None])
         u = ((x >> _U(40)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-24)
         r = -np.log(u[:, 0] * u[:, 1])
         c = -np.log(u[:, 2] * u[:, 3])
-        return np.maximum(r, np.float32(1e-6)), np.log(np.maximum(c, np.float32(1e-6))), u[:, 4]
+        return np.stack((np.maximum(r, np.float32(1e-6)), np.log(np.maximum(c, np.float32(1e-6))), u[:, 4]), axis=1)
 
-    def _once(self, terms: np.ndarray) -> np.ndarray:
-        """The sampled values of words of weight 1, whose quantised weight is 0."""
-        if len(terms) > self.slots // 2:
-            return np.concatenate([self._once(t) for t in np.array_split(terms, len(terms) // 2000 + 1)])
+    def _places(self, terms: np.ndarray) -> list[int]:
+        """Where the tables hold the words; at most 4096 at a time, far fewer than there are slots."""
         keys = terms.tolist()
         if new := [k for k in keys if k not in self.at]:
             if len(self.at) + len(new) > self.slots:
                 self.at.clear()
                 new = keys
             places = range(len(self.at), len(self.at) + len(new))
-            r, c, beta = self._draw(np.array(new, dtype=_U))
-            self.table[places.start : places.stop] = c + r * beta - r
+            v = self._draw(np.array(new, dtype=_U))
+            self.table[places.start : places.stop] = v
+            self.ready[places.start : places.stop] = v[:, 1] + v[:, 0] * v[:, 2] - v[:, 0]  # the quantised weight is 0
             self.at.update(zip(new, places, strict=True))
-        return self.table[[self.at[k] for k in keys]]
+        return [self.at[k] for k in keys]
 
     def signature(self, text: str | None) -> np.ndarray:
         """``samples`` entries of 16 bits, or none for a text without words."""
@@ -81,10 +81,11 @@ class Sampler:
             at[better] = 0 if level is None else np.take_along_axis(level, k[None], 0)[0][better]
 
         for s in range(0, len(one), 4096):  # bounded memory for very long texts
-            take(one[s : s + 4096], self._once(one[s : s + 4096]), None)
+            take(one[s : s + 4096], self.ready[self._places(one[s : s + 4096])], None)
         for s in range(0, len(more), 1024):
             own = terms[more[s : s + 1024]]
-            r, c, beta = self._draw(own)
+            v = self.table[self._places(own)]
+            r, c, beta = v[:, 0], v[:, 1], v[:, 2]
             t = np.floor(np.log(counts[more[s : s + 1024], None]).astype(np.float32) / r + beta)
             take(own, c - r * (t - beta) - r, t)
         return (common.mix64(term ^ (at.astype(np.int64).astype(_U) * _U(0xC2B2AE3D27D4EB4F))) & _U(0xFFFF)).astype(np.uint16)
