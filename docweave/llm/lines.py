@@ -16,8 +16,8 @@ of them at least, so a group of either counts about once, and stays the business
 of n tokens need ``min_texts`` - n / 5 such texts, 3 at least.  What recurs is dropped from every text that holds it,
 whatever its share of the text.
 
-Lines of hot templates are counted by partial aggregation of hashes; a text is read three times, but never shuffled
-except to meet its own list of lines, by its hash.
+Lines of hot templates are counted by partial aggregation of hashes; a text is read twice, and shuffled once, to meet
+its own list of lines by its hash.
 
 Defined results: null texts have no lines and stay null; blank lines are kept; a text of recurring lines only becomes
 its blank lines, or empty; repeated rows and rows that share a doc_id are treated by their own text; texts of any
@@ -92,7 +92,8 @@ def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def _parsed(keyed: DataFrame, depth: int) -> DataFrame:
-    """(k1, k2, leaf, template, n, c1, c2) of the different templates of each text: tokens and surroundings."""
+    """(k1, k2, leaf, template, n, c1, c2, tokens) of the different templates of each text: number of tokens,
+    surroundings, and 32 bits of each token behind the leading ones where these are two or more."""
 
     def make():
         def step(batch: pa.RecordBatch):
@@ -107,38 +108,21 @@ def _parsed(keyed: DataFrame, depth: int) -> DataFrame:
                 if not lines:
                     continue
                 own: dict[int, dict[int, tuple[int, int]]] = {}
-                facts: dict[tuple[int, int], tuple[int, int]] = {}
+                facts: dict[tuple[int, int], tuple] = {}
                 for i, p, m in zip(owner, parsed, _minima(lines), strict=True):
                     had = own.setdefault(i, {})
                     had[p[1]] = tuple(map(min, m, had[p[1]])) if p[1] in had else m
-                    facts[i, p[1]] = p[0], len(p[2])
-                rows = [(i, *facts[i, t][:1], t, facts[i, t][1], *c) for i, had in own.items() for t, c in surroundings(had).items()]
+                    facts[i, p[1]] = p[0], p[2]
+                rows = [(i, facts[i, t][0], t, len(facts[i, t][1]), *c) for i, had in own.items() for t, c in surroundings(had).items()]
                 row, *columns = (pa.array(c, pa.int64()) for c in zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *columns], ["k1", "k2", "leaf", "template", "n", "c1", "c2"])
+                behind = [facts[r[0], r[2]][1][depth:] if r[3] >= depth + 2 else [] for r in rows]
+                tokens = np.fromiter((xxhash.xxh32_intdigest(w) for words in behind for w in words), np.uint32, sum(map(len, behind)))
+                ends = pa.array(np.cumsum([0, *map(len, behind)]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *columns, pa.ListArray.from_arrays(ends, pa.array(tokens.view(np.int32)))], ["k1", "k2", "leaf", "template", "n", "c1", "c2", "tokens"])
 
         return step
 
-    return common.map_arrow(keyed, make, "k1 long, k2 long, leaf long, template long, n long, c1 long, c2 long")
-
-
-def _tokens(wanted: DataFrame, depth: int) -> DataFrame:
-    """(leaf, template, pos, token) behind the leading tokens, of one line of each template in ``templates``; hashes."""
-
-    def make():
-        def step(batch: pa.RecordBatch):
-            for text, templates in zip(batch.column(0), batch.column(1), strict=True):
-                own = set(templates.as_py())
-                out: list[tuple[int, int, int, int]] = []
-                for line in _raw(text.as_py()).split(b"\n"):
-                    if own and (p := parse(line, depth)) and p[1] in own:
-                        own.discard(p[1])
-                        out += [(p[0], p[1], at, _signed(xxhash.xxh64_intdigest(p[2][at]))) for at in range(depth, len(p[2]))]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["leaf", "template", "pos", "token"])
-
-        return step
-
-    return common.map_arrow(wanted, make, "leaf long, template long, pos long, token long")
+    return common.map_arrow(keyed, make, "k1 long, k2 long, leaf long, template long, n long, c1 long, c2 long, tokens array<int>")
 
 
 def _needed(min_texts: int) -> Column:
@@ -167,12 +151,8 @@ def templates(docs: DataFrame, min_texts: int = MIN_TEXTS, depth: int = DEPTH, a
     common.discard(parsed)
     exact = common.materialize(_recurring(near.filter("maybe").select("template", "n", "c1", "c2"), "template", min_texts), "lines-exact")
     reach = common.materialize(near.filter("mixed").join(exact, "template", "left_anti"), "lines-reach")
-    owner = reach.groupBy("template").agg(F.min(F.struct("k1", "k2")).alias("own")).select("own.*", "template")
-    wanted = common.materialize(owner.groupBy("k1", "k2").agg(F.collect_list("template").alias("templates")), "lines-owners")
-    # one row for a text: by other hashes than the join's, so that a hot text's rows can be split in the join and each
-    # part sends one row on
-    met = keyed.join(wanted, ["k1", "k2"]).select(F.xxhash64("k1", "k2").alias("g1"), F.xxhash64("k2", "k1").alias("g2"), "text", "templates")
-    tokens = common.materialize(_tokens(met.dropDuplicates(["g1", "g2"]).select("text", "templates"), depth), "lines-tokens")
+    once = reach.groupBy("template").agg(F.first("leaf").alias("leaf"), F.first("tokens").alias("tokens"))  # a template has one list of tokens
+    tokens = common.materialize(once.select("leaf", "template", F.posexplode("tokens").alias("pos", "token")), "lines-tokens")
     support = tokens.groupBy("leaf", "pos", "token").agg(F.count("*").alias("lines"))
     line = tokens.join(support, ["leaf", "pos", "token"]).groupBy("leaf", "template").agg(F.sort_array(F.collect_list(F.struct("lines", "pos", "token")), asc=False).alias("own"))
     level = F.col("own")[F.ceil(F.size("own") / 2).cast("int") - 1]["lines"]
@@ -182,7 +162,7 @@ def templates(docs: DataFrame, min_texts: int = MIN_TEXTS, depth: int = DEPTH, a
     shared = _recurring(reach.join(pattern, "template").select("pattern", "n", "c1", "c2"), "pattern", min_texts)
     gone = exact.unionByName(pattern.join(shared, "pattern").select("template"))
     drop = common.materialize(near.join(gone, "template").groupBy("k1", "k2").agg(F.collect_set("template").alias("drop")), "lines-drop")
-    for done in (near, often, exact, reach, wanted, tokens, pattern):
+    for done in (near, often, exact, reach, tokens, pattern):
         common.discard(done)
     return drop
 
