@@ -36,7 +36,7 @@ class Sampler:
 
     def __init__(self, samples: int = 64, seed: int = 7, slots: int = 40_000):
         self.samples, self.slots = samples, slots
-        self.salts = common.mix64((np.arange(5 * samples, dtype=_U) + _U(1)) * _U(0x9E3779B97F4A7C15) + _U(seed)).reshape(5, samples)
+        self.salts = common.mix64((np.arange(2 * samples, dtype=_U) + _U(1)) * _U(0x9E3779B97F4A7C15) + _U(seed)).reshape(2, samples)
         self.table = np.empty((slots, 3, samples), dtype=np.float32)  # r, ln c and beta
         self.ready = np.empty((slots, samples), dtype=np.float32)  # what they come to at weight 1
         self.at: dict[int, int] = {}
@@ -44,10 +44,12 @@ class Sampler:
     def _draw(self, terms: np.ndarray) -> np.ndarray:
         """(terms, [r, ln c, beta], samples)"""
         x = common.mix64(terms[:, None, None] ^ self.salts[None])
-        u = ((x >> _U(40)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-24)
-        r = -np.log(u[:, 0] * u[:, 1])
-        c = -np.log(u[:, 2] * u[:, 3])
-        return np.stack((np.maximum(r, np.float32(1e-6)), np.log(np.maximum(c, np.float32(1e-6))), u[:, 4]), axis=1)
+        # each hash holds three uniform numbers of 21 bits
+        u0, u1, u2 = (((x >> _U(s)) & _U(0x1FFFFF)).astype(np.float32) + np.float32(0.5) for s in (43, 22, 1))
+        scale = np.float32(2.0**-21)
+        r = -np.log(u0[:, 0] * scale * (u1[:, 0] * scale))
+        c = -np.log(u0[:, 1] * scale * (u1[:, 1] * scale))
+        return np.stack((np.maximum(r, np.float32(1e-6)), np.log(np.maximum(c, np.float32(1e-6))), u2[:, 0] * scale), axis=1)
 
     def _places(self, terms: np.ndarray) -> list[int]:
         """Where the tables hold the words; at most 4096 at a time, far fewer than there are slots."""
