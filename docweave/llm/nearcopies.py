@@ -1,18 +1,20 @@
-"""Near copies by word shingles and Jaccard similarity: the mode of op5 beyond the radius of a ball.
+"""Near copies by SimHash and Jaccard similarity: the mode of op5 that goes beyond the radius of its ball.
 
 A text is the set of its different runs of ``shingle`` lower-cased words (a shorter one is its whole run).  Texts of one
-set are one node.  ``bands`` hashes of ``rows`` minima each put a node into that many groups; two nodes of similarity s
-share one with probability 1 - (1 - s**rows)**bands (0.9996 at 0.8).  Sharing a group makes two nodes candidates; which
-candidates have at least ``similarity`` is found without listing the pairs of a group:
+set are one node.  Candidates come from three steps:
 
-1. The members of all groups are sorted by group and then by further minima, and each is held against the next
+1. op5's own method: the 64-bit SimHash of a text's runs, and ball hashing of the different fingerprints.  Nodes of one
+   fingerprint are held each against the next one, and fingerprints within two bits by a node of either.
+2. Two bits hold nearly equal texts only (at 0.8 about ten of 64 differ).  So ``bands`` hashes of ``rows`` minima each put
+   a node into that many groups; two nodes of similarity s share one with probability 1 - (1 - s**rows)**bands (0.9996 at
+   0.8).  The members of all groups are sorted by group and then by further minima, and each is held against the next
    ``ahead`` ones, which share the most minima with it.  That is linear work, and joins most copies of a text.
-2. In groups that still span several components, an exact prefix filter: with shingles in one order, rare ones first,
+3. In groups that still span several components, an exact prefix filter: with shingles in one order, rare ones first,
    two sets of the similarity share one of the first n - ceil(similarity * n) + 1 shingles of either.  A text that was
    edited a lot has shingles of its own there and meets nobody.  Who shares one is held against the members of other
    components if their lengths and positions allow the similarity (length and positional filter).
 
-Both steps verify by the Jaccard similarity of the whole sets, so every link is right, and no link among candidates is
+All steps verify by the Jaccard similarity of the whole sets, so every link is right, and no link among candidates is
 lost that would join two components.
 
 Defined results: null and wordless texts are one set and linked to each other; rows without an id are left out; rows
@@ -31,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, simhash
 
 SHINGLE, SIMILARITY, BANDS, ROWS, AHEAD = 5, 0.8, 20, 5, 2
 #: Further minima by which the members of a group are sorted, 16 bits of each.
@@ -65,9 +67,9 @@ def _key(own: np.ndarray) -> int:
     return _signed(xxhash.xxh64_intdigest(own.tobytes()))
 
 
-def _groups(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, key, groups, codes) of every row: the hash of its set, one group for each band, and 16 bits of each
-    minimum, the first ``TAIL`` once more at the end."""
+def _groups(docs: DataFrame, shingle: int, bands: int, rows: int, seed: int) -> DataFrame:
+    """(doc_id, key, fp, groups, codes) of every row: the hash of its set, its SimHash, one group for each band, and 16
+    bits of each minimum, the first ``TAIL`` once more at the end."""
 
     def make():
         times, plus = _family(bands * rows)
@@ -86,14 +88,15 @@ def _groups(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
                 for k in range(bands * rows + TAIL):
                     codes[:, k] = common.mix64(lows[k % (bands * rows)]) >> np.uint64(48)
                 keys = [_key(np.unique(h[a:b])) for a, b in zip(first[:-1], first[1:], strict=True)]
+                fps = np.array([simhash.fingerprint(t, shingle, seed) for t in texts], dtype=np.uint64)
                 flat = pa.array(groups.reshape(-1).view(np.int64))
                 offsets = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * bands)
-                columns = [batch.column(0).slice(at, len(texts)), pa.array(keys, pa.int64()), pa.ListArray.from_arrays(offsets, flat), pa.array([c.tobytes() for c in codes], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "groups", "codes"])
+                columns = [batch.column(0).slice(at, len(texts)), pa.array(keys, pa.int64()), pa.array(fps.view(np.int64)), pa.ListArray.from_arrays(offsets, flat), pa.array([c.tobytes() for c in codes], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "fp", "groups", "codes"])
 
         return step
 
-    return common.map_arrow(docs, make, "doc_id long, key long, groups array<long>, codes binary")
+    return common.map_arrow(docs, make, "doc_id long, key long, fp long, groups array<long>, codes binary")
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -138,6 +141,21 @@ def _neighbours(member: DataFrame, ahead: int) -> DataFrame:
     return common.arrow_tasks(ordered.select("group", "key"), run, "a long, b long")
 
 
+def _ball(prints: DataFrame, radius: int) -> DataFrame:
+    """Pairs (a, b) of nodes by their SimHash: neighbours in one fingerprint, and a node of each of two fingerprints that
+    ball hashing links."""
+    spots = common.materialize(prints.select("fp", "key").distinct(), "near-spots")
+    first = common.materialize(spots.groupBy("fp").agg(F.min("key").alias("key")), "near-firsts")
+    edges = simhash.ball_edges(first.select("fp"), radius).withColumnsRenamed({"a": "x", "b": "y"})
+    near = edges.join(first.select(F.col("fp").alias("x"), F.col("key").alias("kx")), "x").join(first.select(F.col("fp").alias("y"), F.col("key").alias("ky")), "y")
+    near = near.select(F.least("kx", "ky").alias("a"), F.greatest("kx", "ky").alias("b"))
+    same = _neighbours(spots.select(F.col("fp").alias("group"), F.lit(0).alias("tail"), "key"), 1)
+    pairs = common.materialize(near.filter("a <> b").unionByName(same).distinct(), "near-ball")
+    common.discard(spots)
+    common.discard(first)
+    return pairs
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose sets have at least the similarity; a table."""
     met = pairs.distinct().join(sets.select(F.col("key").alias("a"), F.col("own").alias("own_a")), "a").join(sets.select(F.col("key").alias("b"), F.col("own").alias("own_b")), "b").select("a", "b", "own_a", "own_b")
@@ -185,11 +203,12 @@ def _across(prefix: DataFrame, linked: DataFrame, similarity: float) -> DataFram
     return pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b"))
 
 
-def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, ahead: int = AHEAD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, key (the hash of its set), component_id (the smallest doc_id that its links reach, itself included) of
-    every row with an id."""
+def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, ahead: int = AHEAD, id_col: str = "doc_id", text_col: str = "text", seed: int = 42, radius: int = 2) -> DataFrame:
+    """doc_id, key (the hash of its set), fp (its SimHash), component_id (the smallest doc_id that its links reach,
+    itself included) of every row with an id."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
-    prints = common.materialize(_groups(docs, shingle, bands, rows), "near-prints")
+    prints = common.materialize(_groups(docs, shingle, bands, rows, seed), "near-prints")
+    ball = _ball(prints, radius)
     nodes = prints.groupBy("key").agg(F.min("doc_id").alias("low"), F.first("groups").alias("groups"), F.first("codes").alias("codes"))
     nodes = common.materialize(nodes, "near-nodes")
     width = 2 * rows
@@ -198,9 +217,11 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
     shared = each.groupBy("group").agg(F.count("*").alias("n")).filter("n > 1").select("group")
     member = common.materialize(each.join(shared, "group"), "near-groups")  # groups of one node link nothing
 
-    wanted = nodes.join(member.select("key").distinct(), "key", "left_semi").select(F.col("low").alias("doc_id"), "key")
+    met = member.select("key").unionByName(ball.select(F.explode(F.array("a", "b")).alias("key"))).distinct()
+    wanted = nodes.join(met, "key", "left_semi").select(F.col("low").alias("doc_id"), "key")
     sets = common.materialize(_sets(docs.join(wanted, "doc_id").select("doc_id", "text", "key"), shingle).dropDuplicates(["key"]), "near-sets")
-    close = _verified(_neighbours(member, ahead), sets, similarity)
+    close = _verified(ball.unionByName(_neighbours(member, ahead)), sets, similarity)
+    common.discard(ball)
     linked = common.components(close)
 
     rooted = member.select("group", "key").join(linked.select(F.col("node").alias("key"), "root"), "key", "left").select("group", "key", F.coalesce("root", "key").alias("root"))
@@ -218,4 +239,4 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
     named = common.materialize(roots.join(lows, "root").select("key", "component_id"), "near-named")
     common.discard(nodes)
     common.discard(linked)
-    return prints.select("doc_id", "key").join(named, "key").select("doc_id", "key", "component_id")
+    return prints.select("doc_id", "key", "fp").join(named, "key").select("doc_id", "key", "fp", "component_id")

@@ -11,8 +11,9 @@ and a component like the others, but never name a component (its id is the small
 texts of any length are read whole; a bit that exactly half the hashes set is 0; an empty table gives an empty result;
 other columns are ignored.
 
-Two bits hold nearly equal texts only.  ``similarity`` asks for all texts of that Jaccard similarity of their shingles
-instead, which no ball of a workable radius reaches (at 0.8 about ten of 64 bits differ): :mod:`.nearcopies`.
+Two bits hold nearly equal texts only.  With ``similarity`` the links are all those of that Jaccard similarity of the
+shingles: the ball's links are verified by it, and further candidates join those that no ball of a workable radius
+reaches (at 0.8 about ten of 64 bits differ): :mod:`.nearcopies`.
 """
 
 from __future__ import annotations
@@ -28,11 +29,11 @@ from . import common, nearcopies
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
-def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
-    """Majority bits of the XXH64 hashes of all word shingles, repeats included."""
+def fingerprint(text: str | bytes | None, shingle: int = 3, seed: int = 42) -> int:
+    """Majority bits of the XXH64 hashes of all word shingles, repeats included; bytes are UTF-8."""
     if not text:
         return 0
-    words = text.encode("utf-8", "surrogatepass").lower().split()
+    words = (text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text).lower().split()
     if not words:
         return 0
     joined = b" ".join(words)
@@ -84,10 +85,9 @@ def ball_edges(distinct_fps: DataFrame, radius: int = 2) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, radius: int = 2, similarity: float | None = None) -> DataFrame:
     """One row per document: doc_id, fp, component_id (the smallest doc_id that its links reach, itself included).
-    With ``similarity``, links are by the Jaccard similarity of the shingles, fp is the hash of their set, and rows
-    without an id are left out."""
+    With ``similarity``, links are by the Jaccard similarity of the shingles, and rows without an id are left out."""
     if similarity is not None:
-        return nearcopies.near_copies(docs, shingle, similarity, id_col=id_col, text_col=text_col).withColumnRenamed("key", "fp")
+        return nearcopies.near_copies(docs, shingle, similarity, id_col=id_col, text_col=text_col, seed=seed, radius=radius).select("doc_id", "fp", "component_id")
     prints = common.materialize(fingerprints(docs, id_col, text_col, shingle, seed), "simhash")
     nodes = common.materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-nodes")
     linked = common.components(ball_edges(nodes.select("fp"), radius))

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from docweave.llm import nearcopies
+from docweave.llm import nearcopies, simhash
 
 
 def test_stage_removes_edited_copies(spark):
@@ -62,3 +62,27 @@ def test_links_of_a_large_group_of_edited_copies_by_brute_force(spark):
                 root[y] = x
     got = {r.doc_id: r.component_id for r in nearcopies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {k: find(k) for k in grams} and 1 < len(set(got.values())) < 100
+
+
+def test_stage_takes_the_fingerprints_and_links_of_the_ball(spark):
+    """Bands of so many rows that edited copies share no group: what is linked is linked by the ball, if similar."""
+    rng = random.Random(8)
+    rows, fps = [], {}
+    for k in range(20):
+        text = [f"w{rng.randrange(10**9)}" for _ in range(1500)]
+        rows.append((2 * k, " ".join(text)))
+        text[rng.randrange(100, 1400)] = "edited"
+        rows.append((2 * k + 1, " ".join(text)))
+    rows += [(100, "A b"), (101, "a  b"), (102, None), (103, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    fps = {k: simhash.fingerprint(t, 5) for k, t in rows}
+    near = {k for k in range(0, 40, 2) if (fps[k] ^ fps[k + 1]).bit_count() <= 2}
+    assert 5 < len(near) < 20
+    got = {r.doc_id: r.component_id for r in nearcopies.near_copies(docs, bands=1, rows=2000).collect()}
+    assert {k for k in range(0, 40, 2) if got[k + 1] == k} >= near
+    assert got[101] == 100 and got[103] == 102
+    found = {r.doc_id: r for r in simhash.near_duplicates(docs, shingle=5, similarity=0.8).collect()}
+    assert {k: r.fp % 2**64 for k, r in found.items()} == fps
+    assert all(found[k + 1].component_id == k for k in range(0, 40, 2))
+    apart = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, shingle=5, similarity=0.999).collect()}
+    assert all(apart[k] == k for k in range(40))  # 5 of 1500 runs differ: the ball's links are verified
