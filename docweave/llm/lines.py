@@ -27,11 +27,10 @@ through untouched, whatever their names, but for those that are named as ``count
 
 from __future__ import annotations
 
-import re
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,8 +39,35 @@ from . import common
 
 MIN_TEXTS, DEPTH, AGREE, LEAST_TEXTS, TOKENS_PER_TEXT = 10, 3, 0.8, 3, 5
 VARIABLE = b"<*>"
-_DIGIT = re.compile(rb"[0-9]")
 _AROUND = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
+_DIGIT = np.isin(np.arange(256), np.frombuffer(b"0123456789", np.uint8))
+_VARIABLE = common.Words([VARIABLE]).hash[0]
+
+
+class Lines:
+    """The lines of several texts, blank ones too: ``owner`` (the text), ``n`` tokens from ``first`` on, and the 64-bit
+    hashes ``leaf`` and ``template`` of each line; ``word`` and ``token`` are the hashes of each word and of what the
+    tree takes it for."""
+
+    __slots__ = ("owner", "first", "n", "leaf", "template", "word", "token", "variable")
+
+    def __init__(self, texts: list[bytes], depth: int = DEPTH):
+        words = common.Words(texts)
+        raw = np.frombuffer(words.data, np.uint8)
+        begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        at = np.sort(np.concatenate((begins[:-1], np.flatnonzero(raw == 0x0A) + 1)))
+        self.owner = np.searchsorted(begins, at, "right") - 1
+        first = np.append(np.searchsorted(words.start, at), len(words.start))
+        self.first, self.n = first[:-1], np.diff(first)
+        digits = np.concatenate(([0], np.cumsum(_DIGIT[raw])))
+        self.variable = digits[words.end] > digits[words.start]
+        self.word, self.token = words.hash, np.where(self.variable, _VARIABLE, words.hash)
+        # sums of token * base**place, as of a Rabin-Karp hash
+        total = np.zeros(len(self.token) + 1, np.uint64)
+        np.cumsum(self.token * common.powers(common._BASES[2], len(self.token)), out=total[1:])
+        start = np.append(common.powers(common._BASES[2], len(self.token), True), np.uint64(0))[self.first]
+        salt = common.mix64(self.n.astype(np.uint64) * np.uint64(common._BASES[0]))
+        self.leaf, self.template = (common.mix64((total[self.first + m] - total[self.first]) * start ^ salt ^ np.uint64(k)).view(np.int64) for k, m in enumerate((np.minimum(self.n, depth), self.n)))
 
 
 def parse(line: bytes, depth: int = DEPTH) -> tuple[int, int, list[bytes]] | None:
@@ -49,41 +75,35 @@ def parse(line: bytes, depth: int = DEPTH) -> tuple[int, int, list[bytes]] | Non
     tokens = line.split()
     if not tokens:
         return None
-    if _DIGIT.search(line):
-        tokens = [VARIABLE if _DIGIT.search(t) else t for t in tokens]
-    leaf = xxhash.xxh64_intdigest(b" ".join(tokens[:depth]), len(tokens))
-    return _signed(leaf), _signed(xxhash.xxh64_intdigest(b" ".join(tokens), 1)), tokens
+    one = Lines([line], depth)
+    return int(one.leaf[0]), int(one.template[0]), [VARIABLE if v else t for t, v in zip(tokens, one.variable.tolist(), strict=True)]
 
 
-def _signed(h: int) -> int:
-    return h - (1 << 64) if h >> 63 else h
-
-
-def _raw(text) -> bytes:
-    return (text or "").encode("utf-8", "surrogatepass")
-
-
-def _minima(lines: list[bytes]) -> list[tuple[int, int]]:
+def _lows(word: np.ndarray, first: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
     """Two minima of the hashes of each line's 3-word runs (a shorter line is one run); no line is blank."""
-    words = common.Words(lines)
-    first, n = words.first[:-1], np.diff(words.first)
-    runs = np.concatenate((common.rolling(words.hash, 3, common._BASES[1]), np.zeros(2, np.uint64)))
+    runs = np.concatenate((common.rolling(word, 3, common._BASES[1]), np.zeros(2, np.uint64)))
     short = n < 3
-    runs[first[short]] = words.hash[first[short]] * np.uint64(5) + words.hash[first[short] + n[short] - 1]
+    runs[first[short]] = word[first[short]] * np.uint64(5) + word[first[short] + n[short] - 1]
     edges = np.column_stack((first, first + np.maximum(1, n - 2))).reshape(-1)
     runs = np.append(runs, np.uint64(0))  # the last edge may be the end
-    return list(zip(*(np.minimum.reduceat(common.mix64(runs ^ salt), edges)[::2].view(np.int64).tolist() for salt in _AROUND), strict=True))
+    return [np.minimum.reduceat(common.mix64(runs ^ salt), edges)[::2].view(np.int64) for salt in _AROUND]
+
+
+def _minima(lines: list[bytes]) -> list[tuple[int, int]]:
+    """:func:`_lows` of lines of which none is blank."""
+    words = common.Words(lines)
+    return list(zip(*(m.tolist() for m in _lows(words.hash, words.first[:-1], np.diff(words.first))), strict=True))
 
 
-def surroundings(minima: dict[int, tuple[int, int]]) -> dict[int, tuple[int, int]]:
-    """For each template of a text the smallest minima of its other templates, 0 where there is no other."""
-    out = {t: [0, 0] for t in minima}
-    if len(minima) > 1:
-        for k in range(2):
-            low, second = sorted((m[k], t) for t, m in minima.items())[:2]
-            for t in minima:
-                out[t][k] = second[0] if t == low[1] else low[0]
-    return {t: tuple(o) for t, o in out.items()}
+def _others(owner: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """For each row the smallest ``low`` of its owner's other rows, 0 where there is no other; owners are in order."""
+    begin = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+    size = np.diff(np.append(begin, len(owner)))
+    order = np.lexsort((low, owner))
+    second = low[order[np.minimum(begin + 1, len(owner) - 1)]]
+    out = np.repeat(low[order[begin]], size)
+    out[order[begin]] = second
+    return np.where(np.repeat(size, size) > 1, out, 0)
 
 
 def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
@@ -97,28 +117,26 @@ def _parsed(keyed: DataFrame, depth: int) -> DataFrame:
 
     def make():
         def step(batch: pa.RecordBatch):
-            for at, texts in common.pieces(batch.column(2).to_pylist()):
-                owner, lines, parsed = [], [], []
-                for i, text in enumerate(texts):
-                    for line in dict.fromkeys(text.split(b"\n")):
-                        if p := parse(line, depth):
-                            owner.append(at + i)
-                            lines.append(line)
-                            parsed.append(p)
-                if not lines:
+            for at, texts in common.pieces(batch.column(2).cast(pa.binary()).to_pylist()):
+                found = Lines(texts, depth)
+                lines = np.flatnonzero(found.n)
+                if not len(lines):
                     continue
-                own: dict[int, dict[int, tuple[int, int]]] = {}
-                facts: dict[tuple[int, int], tuple] = {}
-                for i, p, m in zip(owner, parsed, _minima(lines), strict=True):
-                    had = own.setdefault(i, {})
-                    had[p[1]] = tuple(map(min, m, had[p[1]])) if p[1] in had else m
-                    facts[i, p[1]] = p[0], p[2]
-                rows = [(i, facts[i, t][0], t, len(facts[i, t][1]), *c) for i, had in own.items() for t, c in surroundings(had).items()]
-                row, *columns = (pa.array(c, pa.int64()) for c in zip(*rows, strict=True))
-                behind = [facts[r[0], r[2]][1][depth:] if r[3] >= depth + 2 else [] for r in rows]
-                tokens = np.fromiter((xxhash.xxh32_intdigest(w) for words in behind for w in words), np.uint32, sum(map(len, behind)))
-                ends = pa.array(np.cumsum([0, *map(len, behind)]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *columns, pa.ListArray.from_arrays(ends, pa.array(tokens.view(np.int32)))], ["k1", "k2", "leaf", "template", "n", "c1", "c2", "tokens"])
+                lows = _lows(found.word, found.first[lines], found.n[lines])
+                order = np.lexsort((found.template[lines], found.owner[lines]))
+                line = lines[order]
+                new = np.append(True, (found.owner[line][1:] != found.owner[line][:-1]) | (found.template[line][1:] != found.template[line][:-1]))
+                each = np.flatnonzero(new)
+                line = line[each]  # lines of a template have the same tokens
+                owner, first, n = found.owner[line], found.first[line], found.n[line]
+                c1, c2 = (_others(owner, np.minimum.reduceat(low[order], each)) for low in lows)
+                size = np.where(n >= depth + 2, n - depth, 0)
+                ends = np.concatenate(([0], np.cumsum(size)))
+                behind = np.repeat(first + depth - ends[:-1], size) + np.arange(ends[-1])
+                tokens = pa.array((found.token[behind] >> np.uint64(32)).astype(np.uint32).view(np.int32))
+                row = pa.array(at + owner)
+                columns = [pa.array(c.astype(np.int64, copy=False)) for c in (found.leaf[line], found.template[line], n, c1, c2)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *columns, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), tokens)], ["k1", "k2", "leaf", "template", "n", "c1", "c2", "tokens"])
 
         return step
 
@@ -167,22 +185,17 @@ def templates(docs: DataFrame, min_texts: int = MIN_TEXTS, depth: int = DEPTH, a
     return drop
 
 
-def clean(text: str | None, drop: frozenset[int], depth: int = DEPTH) -> tuple[str | None, int, int, float]:
-    """(text without its recurring lines, lines with a word, lines dropped, their share of the words)."""
-    if text is None:
-        return None, 0, 0, 0.0
-    kept, words, gone, n, dropped = [], 0, 0, 0, 0
-    for line in _raw(text).split(b"\n"):
-        p = parse(line, depth)
-        if p:
-            n += 1
-            words += len(p[2])
-            if p[1] in drop:
-                gone += len(p[2])
-                dropped += 1
-                continue
-        kept.append(line)
-    return (b"\n".join(kept).decode("utf-8", "surrogatepass") if dropped else text), n, dropped, gone / max(1, words)
+def clean(texts: list[bytes], drops: list[np.ndarray], depth: int = DEPTH) -> list[tuple[bytes, int, int, float]]:
+    """(text without its recurring lines, lines with a word, lines dropped, their share of the words) of each text."""
+    found, out = Lines(texts, depth), []
+    edges = np.searchsorted(found.owner, np.arange(len(texts) + 1))
+    for text, drop, a, b in zip(texts, drops, edges[:-1], edges[1:], strict=True):
+        n = found.n[a:b]
+        gone = np.isin(found.template[a:b], drop) & (n > 0)
+        dropped = int(gone.sum())
+        kept = b"\n".join(compress(text.split(b"\n"), (~gone).tolist())) if dropped else text
+        out.append((kept, int(np.count_nonzero(n)), dropped, int(n[gone].sum()) / max(1, int(n.sum()))))
+    return out
 
 
 COUNTERS = ("n_lines", "n_dropped", "dropped_share")
@@ -200,16 +213,15 @@ def drop_lines(docs: DataFrame, min_texts: int = MIN_TEXTS, depth: int = DEPTH,
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = []
-            for t, d in zip(batch.column(1), batch.column(2), strict=True):
-                text = t.as_py()
-                if d.is_valid:
-                    rows.append(clean(text, frozenset(d.as_py()), depth))
-                else:
-                    rows.append((text, sum(1 for line in _raw(text).split(b"\n") if line.strip()), 0, 0.0))
+            rows = [(t, 0 if t is None else sum(1 for line in t.split(b"\n") if line.strip()), 0, 0.0) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            hit = np.flatnonzero(batch.column(2).is_valid().to_numpy(zero_copy_only=False))
+            drops = [d.values.to_numpy() for d in batch.column(2).take(pa.array(hit))]
+            for at, texts in common.pieces([rows[i][0] for i in hit]):
+                for k, cleaned in enumerate(clean(texts, drops[at : at + len(texts)], depth), at):
+                    rows[hit[k]] = cleaned
             texts, *counts = zip(*rows, strict=True)
             columns = [pa.array(c, k) for c, k in zip(counts, (pa.int64(), pa.int64(), pa.float64()), strict=True)]
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), *columns], ["rest_", "text_", "n1_", "n2_", "n3_"])
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()).cast(pa.string()), *columns], ["rest_", "text_", "n1_", "n2_", "n3_"])
 
         return step
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import re
 import textwrap
 import zlib
@@ -638,3 +639,35 @@ def test_mixing_projection_and_sampling(spark):
     n = Counter(x.doc_id % 4 == 0 for x in mixing.sample(docs, rated).collect())
     assert abs(n[True] - 200) <= 1 and abs(n[False] - 200) < 40
     assert mixing.rates(post.limit(0), ["a", "b"], {"a": 1.0})[0].count() == 0
+
+
+def test_lines_of_many_texts_at_once_by_plain_python():
+    """Leaves, templates and tokens of a batch are those of each line alone; and no Python runs for a line of the batch."""
+    r = random.Random(31)
+    word = lambda: r.choice(["a", "b", "a1", "7", "été", "x" * 30, "<*>"])
+    texts = ["\n".join(r.choice(["", " ", "\t\r", "  "]) + r.choice([" ", "  ", "\x0b"]).join(word() for _ in range(r.randint(0, 6))) for _ in range(r.randint(0, 9))) for _ in range(400)]
+    texts += ["", "\n", "a\n", "\na", "a b c", "a b c\n\n"]
+    found, at, leaves, templates = lines.Lines([t.encode() for t in texts]), 0, defaultdict(set), defaultdict(set)
+    for i, t in enumerate(texts):
+        for line in t.encode().split(b"\n"):
+            tokens = tuple(b"<*>" if any(c in b"0123456789" for c in w) else w for w in line.split())
+            assert (found.owner[at], found.n[at]) == (i, len(tokens))
+            if tokens:
+                assert lines.parse(line) == (found.leaf[at], found.template[at], list(tokens))
+                leaves[len(tokens), tokens[:3]].add(found.leaf[at])
+                templates[tokens].add(found.template[at])
+            at += 1
+    assert at == len(found.n)
+    for kinds in (leaves, templates):
+        assert all(len(k) == 1 for k in kinds.values()) and len(set.union(*kinds.values())) == len(kinds) > 100
+    assert lines.clean([b"a b\n\nc 1\nd", b""], [found.template[:0], found.template[:0]]) == [(b"a b\n\nc 1\nd", 3, 0, 0.0), (b"", 0, 0, 0.0)]
+    assert lines.clean([b"a b\n\nc 1\nd"], [np.array([lines.parse(b"c 22")[1]])]) == [(b"a b\n\nd", 3, 1, 0.4)]
+    many = [prose(r, 10).encode() for _ in range(2000)]
+    lines.Lines(many)
+    start = time.process_time()
+    lines.Lines(many)
+    batch, start = time.process_time() - start, time.process_time()
+    for t in many:
+        for line in t.split(b"\n"):
+            lines.parse(line)
+    assert batch < 0.3 * (time.process_time() - start)
